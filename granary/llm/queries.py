@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import line_dedup, minhash
 from .common import table
 
 _WS = r"[\x09-\x0D\x20]"
@@ -14,9 +14,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def _lower(x: str) -> str:
     return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
