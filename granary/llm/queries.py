@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash
+from . import decontam, line_dedup, minhash, mixing, toxicity
 from .common import table
 
 _WS = r"[\x09-\x0D\x20]"
@@ -18,9 +18,43 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def _lower(x: str) -> str:
     return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op5_toxicity, op6_benchmark_decontamination, op8_source_mixing)}
+ORACLE_SQL: dict[str, str] = {
+    "op6_benchmark_decontamination": r"""
+with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents where text is not null and doc_id is not null),
+b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null and item_id is not null),
+ds as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i+4], ' '))) s from d where len(w) > 0),
+bs as (select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i+4], ' '))) s from b where len(w) > 0),
+q as (select item_id, count(*) n_item from bs group by all),
+m as (select doc_id, item_id, count(*) n_shared from ds join bs using (s) group by all)
+select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment from m join q using (item_id) where n_shared * 100 >= n_item * 80""",
+    "op8_source_mixing": r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+o as (select *, coalesce(md5(doc_id::varchar), 'g') ord from d),
+s as (select source, sum(size)::bigint source_size from d group by 1),
+t as (select *, row_number() over (order by source nulls last) - 1 turn from s),
+u as (select *, turn % 3 + 1 weight, source_size * 3 most from t),
+v as (select *, (sum(source_size) over () - coalesce(sum(most) over (order by most / weight, turn rows between unbounded preceding and 1 preceding), 0))::double
+    / (sum(weight) over (order by most / weight, turn rows between current row and unbounded following))::double as lev from u),
+x as (select source, source_size, least(most::double, weight * coalesce((select min_by(lev, struct_pack(r := most / weight, turn := turn)) from v where lev <= most / weight), 'infinity'::double)) target from v),
+y as (select o.*, source_size, target, coalesce(sum(size) over (partition by o.source order by ord, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint bef
+    from o join x on o.source is not distinct from x.source),
+z as (select *, case when source_size = 0 then 0 when target >= 3 * source_size then 3 else floor(target / source_size)::bigint end passes from y)
+select doc_id, size, source_size, target, (size * (passes + case when source_size > 0 and passes < 3 and bef + size / 2 <= target - passes * source_size then 1 else 0 end))::bigint as taken from z""",
+}
