@@ -51,6 +51,20 @@ def drop_cut(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as a URI that pyarrow's file systems take too."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub(r"^file:/+", "file:///", uri)
+
+
+def file_system(uri: str):
+    """The pyarrow file system of a URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
     """rows joined to keyed on key, where keyed has a row for each key and n says how many of rows have that key.
 

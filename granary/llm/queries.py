@@ -39,8 +39,8 @@ ORACLE_SQL: dict[str, str] = {
     "op6_benchmark_decontamination": r"""
 with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents where text is not null and doc_id is not null),
 b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null and item_id is not null),
-ds as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i+4], ' '))) s from d where len(w) > 0),
-bs as (select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i+4], ' '))) s from b where len(w) > 0),
+ds as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) s from d where len(w) > 0),
+bs as (select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) s from b where len(w) > 0),
 q as (select item_id, count(*) n_item from bs group by all),
 m as (select doc_id, item_id, count(*) n_shared from ds join bs using (s) group by all)
 select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment from m join q using (item_id) where n_shared * 100 >= n_item * 80""",
