@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, minhash, mixing, toxicity
+from . import decontam, line_dedup, minhash, mixing, token_output, toxicity, warc
 from .common import table
 
 _WS = r"[\x09-\x0D\x20]"
@@ -18,6 +18,17 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def tokenizer_path() -> str:
+    """Where byte_bpe_50k.json is on this machine, and so on executors that are set up alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,11 +41,15 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def _lower(x: str) -> str:
     return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op5_toxicity, op6_benchmark_decontamination, op8_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op4_token_output, op5_toxicity, op6_benchmark_decontamination, op8_source_mixing, op9_warc)}
 ORACLE_SQL: dict[str, str] = {
     "op6_benchmark_decontamination": r"""
 with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents where text is not null and doc_id is not null),
