@@ -11,9 +11,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key that holds at least one in HOT_SHARE of the rows is hot; so there are HOT_SHARE hot keys at most.
-HOT_SHARE = 1000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,21 +62,13 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
-    """rows joined to keyed on key, where keyed has a row for each key and n says how many of rows have that key.
+def join_skewed(rows: DataFrame, keyed: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined to keyed, which has one row for each key, while a key may have any share of rows.
 
-    The keys that hold a thousandth of the rows or more are a thousand at most, whatever the input, so they are
-    broadcast; the rest is joined by a shuffle in which no key is large. Both inputs are read twice: cut them before.
+    Both must be written tables or row-wise maps of such, never the direct result of an aggregation: then each side has
+    an exchange of its own, and adaptive execution splits a partition of rows that one key has made large.
     """
-    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
-    is_hot = F.col(n) * HOT_SHARE >= F.lit(max(total, 1))
-    small = keyed.drop(n)
-    hot = keyed.where(is_hot).drop(n)
-    cold = keyed.where(~is_hot).drop(n)
-    among_hot = rows.join(F.broadcast(hot), key)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
-    columns = [*rows.columns, *(c for c in small.columns if c != key)]
-    return among_hot.select(columns).unionByName(others.select(columns))
+    return rows.join(keyed, key, how)
 
 
 # --- bytes to word hashes -------------------------------------------------------------------------------------------

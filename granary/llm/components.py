@@ -5,46 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, join_counted
+from .common import cut, drop_cut, join_skewed
 
 
-def _star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each node's least neighbour (itself included), and the number of rows that edges has for it."""
-    near = edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
-    return edges, near.select("a", F.least("a", "low").alias("low"), "n")
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component_id) for every node of links; the component is known by its least node.
 
-    Large-star and small-star steps in turn (Kiveris et al., 2014): every round is two aggregations with partial
-    sums and two joins whose hot keys are broadcast, and ends in a written table, so lost executors cost one round
-    at most. Links may repeat, run either way or lead to the node itself; null ends are left out.
+    In each round a node takes the least label of its neighbours, then the label of its label (pointer jumping), so
+    the rounds grow with the logarithm of a component's diameter. A round ends in a written table, so lost executors
+    cost one round at most. Links may repeat, run either way or lead to the node itself; null ends are left out.
     """
     ends = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    alone = ends.where("a = b").select("a")
-    edges = cut(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state, nodes = None, cut(alone.union(edges.select("a")).union(edges.select("b")).distinct(), "nodes")
+    both = cut(ends.union(ends.select("b", "a")).distinct(), "edges")
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    before = None
     for _ in range(most_rounds):
-        both = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-        rows, low = _star(both)
-        low = cut(low, "low")
-        large = join_counted(rows, low, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = cut(large, "large")
-        rows, low2 = _star(large)
-        low2 = cut(low2, "low")
-        small = join_counted(rows, low2, "a", "n")
-        small = small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        grown = cut(small.union(low2.select("a", F.col("low").alias("b"))).where("a <> b").distinct(), "links")
-        for used in (edges, both, low, large, low2):
-            drop_cut(used)
-        edges = grown
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return nodes.join(edges.groupBy("a").agg(F.min("b").alias("low")), "a", "left").select(
-        F.col("a").alias("node"), F.coalesce("low", "a").alias("component_id")
-    )
+        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return labels.select("node", F.col("label").alias("component_id"))
+        before = now
+        heard = join_skewed(both.withColumnRenamed("a", "node"), labels, "node").select(F.col("b").alias("node"), "label")
+        near = cut(labels.union(heard).groupBy("node").agg(F.min("label").alias("label")), "near")
+        jump = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = cut(join_skewed(near, jump, "label").select("node", F.least("label", "next").alias("label")), "labels")
+        drop_cut(labels)
+        drop_cut(near)
+        labels = jumped
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, mix, plain_bytes, shingles_of_words, words_of_texts
+from .common import cut, join_skewed, mix, plain_bytes, shingles_of_words, words_of_texts
 from .components import components
 
 HASHES = 128
@@ -113,24 +113,13 @@ def _confirm(percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole shingle sets are similar enough.
-
-    A document in very many pairs is salted: a copy of its set goes to each few hundred of its pairs.
-    """
+    """Those of pairs (a, b) whose whole shingle sets are similar enough."""
     pairs = cut(pairs, "pairs")
-    degrees = cut(pairs.select(F.col("a").alias("doc_id"), F.lit(1).alias("l"), F.lit(0).alias("r")).union(pairs.select("b", F.lit(0), F.lit(1))).groupBy("doc_id").agg(F.sum("l").alias("l"), F.sum("r").alias("r")), "degrees")
-    sets = cut(texts.join(degrees.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "sets")
-    per = 256
-    for side, other, n in (("b", "a", "r"), ("a", "b", "l")):
-        salts = degrees.select(F.col("doc_id").alias(side), F.ceil(F.col(n) / per).cast("int").alias("salts"), F.col(n).alias("n"))
-        salted = join_counted(pairs, salts.where("n > 0"), side, "n").withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("salts")
-        owned = sets.join(salts.where("n > 0").select(F.col(side).alias("doc_id"), "salts"), "doc_id").select(
-            F.col("doc_id").alias(side), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("s" + side)
-        )
-        pairs = salted.join(owned, [side, "salt"]).drop("salt")
-        if side == "b":
-            pairs = cut(pairs, "pairs")
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = cut(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "sets")
+    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias("s" + side))
+    both = join_skewed(join_skewed(pairs, of("b"), "b"), of("a"), "a")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _across(least: float):
@@ -170,41 +159,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select("doc_id", "text")
     sketch = cut(texts.mapInArrow(_sketch(k, band_rows(threshold)), _ROW), "sketch")
     full = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = cut(classes.select(F.col("rep").alias("doc_id"), "k1", "k2").join(full.select("doc_id", "k1", "k2", "sig", "bands"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"), "reps")
 
     members = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = cut(members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = cut(members.join(buckets.select("key"), "key", "left_semi"), "members")
-    star = join_counted(members, buckets, "key", "n").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut(confirmed(_sifted(star, reps, least_estimate(threshold)), texts, k, percent), "links")
-    first = cut(components(links), "components")
+    buckets = cut(members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+    star = join_skewed(members, buckets, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = cut(_signed(star, reps).select("a", "b", (estimate("sig_a", "sig_b") >= least_estimate(threshold)).alias("near")), "star")
+    links = cut(confirmed(star.where("near").select("a", "b"), texts, k, percent), "links")
+    settled = cut(components(links), "components")
 
     # buckets that still hold several components
-    placed = cut(members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("comp")), "placed")
-    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    several = cut(several.select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "several")
-    own = cut(join_counted(placed.join(several.select("key"), "key", "left_semi"), several, "key", "n"), "own").join(reps.select("doc_id", "sig"), "doc_id")
-    own = own.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    placed = cut(reps.join(settled.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", "bands", F.coalesce("component_id", "doc_id").alias("comp")), "placed")
+    members = placed.select("doc_id", "sig", "comp", F.explode("bands").alias("key"))
+    several = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    several = cut(several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "several")
+    own = join_skewed(members, several, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = own.select("key", "doc_id", "comp", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     pairs = blocks.groupBy("key", "i", "j").applyInPandas(_across(least_estimate(threshold)), "a long, b long").distinct()
-    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirmed(pairs.join(seen, ["a", "b"], "left_anti"), texts, k, percent)
-    settled = components(links.union(more))
+    pairs = cut(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
+    more = cut(confirmed(pairs, texts, k, percent), "links")
+    if not more.isEmpty():
+        settled = cut(components(links.union(more)), "components")
 
-    of_class = classes.join(settled.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id"), "n")
-    of_class = cut(of_class.select(F.struct("k1", "k2").alias("key"), "component_id", "n"), "of_class")
+    of_class = classes.join(settled.withColumnRenamed("node", "rep"), "rep", "left").select(F.struct("k1", "k2").alias("key"), F.coalesce("component_id", "rep").alias("component_id"))
+    of_class = cut(of_class, "of_class")
     rows = sketch.select("doc_id", "n_shingles", F.struct("k1", "k2").alias("key"))
-    placed_rows = join_counted(rows.where("doc_id is not null and n_shingles > 0"), of_class, "key", "n").select("doc_id", "n_shingles", "component_id")
+    placed_rows = join_skewed(rows.where("doc_id is not null and n_shingles > 0"), of_class, "key").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed_rows.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _sifted(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """The pairs (hub a, member b) whose signatures agree well enough."""
-    pairs = cut(pairs, "candidates")
-    hubs = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    hubs = cut(hubs.join(reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a"), "hubs")
-    both = join_counted(pairs, hubs, "a", "n").join(reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.where(estimate("sig_a", "sig_b") >= least).select("a", "b")
+def _signed(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """pairs (a, b) with both signatures."""
+    of = lambda side: reps.select(F.col("doc_id").alias(side), F.col("sig").alias("sig_" + side))
+    return join_skewed(join_skewed(pairs, of("b"), "b"), of("a"), "a")

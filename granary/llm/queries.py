@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, minhash, mixing, token_output, toxicity, warc
+from . import decontam, embedding, line_dedup, minhash, mixing, token_output, toxicity, warc
 from .common import table
 
 _WS = r"[\x09-\x0D\x20]"
@@ -45,11 +45,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def _lower(x: str) -> str:
     return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op4_token_output, op5_toxicity, op6_benchmark_decontamination, op8_source_mixing, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op4_token_output, op5_toxicity, op6_benchmark_decontamination, op8_source_mixing, op9_warc, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op6_benchmark_decontamination": r"""
 with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents where text is not null and doc_id is not null),

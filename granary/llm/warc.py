@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, file_system, fresh_path, join_counted, qualified, utf8
+from .common import cut, file_system, fresh_path, join_skewed, qualified, utf8
 
 GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,9 +86,9 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-
     payload = F.coalesce(utf8("html"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("html")).withColumn("sha1", F.sha1("html"))
     large = rows.where((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha1")
-    kept = cut(large.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "kept")
+    kept = cut(large.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "kept")
     own = F.octet_length("html") >= least_bytes
-    joined = join_counted(rows, kept, "sha1", "n", "left")
+    joined = join_skewed(rows, kept, "sha1", "left")
     joined = joined.withColumn("refers_to", F.when(own & (F.col("first") > F.col("page_id")), F.col("first")))
     folder = qualified(spark, fresh_path(spark, "warc"))
     fs, path = file_system(folder)
