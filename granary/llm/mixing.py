@@ -50,14 +50,14 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
 
     A source's documents stand in the order of md5(doc_id), doc_id, size. Whole passes over them come first; the rest
     of the target is a pass over the documents whose middle lies within it, so the words taken miss the target by half
-    a document at most. The running sums are made in two steps, over 65,536 ranges of the order and then within
+    a document at most. The running sums are made in two steps, over 4,096 ranges of the order and then within
     each, so that no source is sorted in one task. Null texts have size 0; a null source is a source; rows that
     repeat a doc_id are so many documents. A null doc_id stands last in its source.
     """
     spark = docs.sparkSession
     rows = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
     rows = rows.withColumn("__order", F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("g")))
-    rows = rows.withColumn("__range", F.substring("__order", 1, 4))
+    rows = rows.withColumn("__range", F.substring("__order", 1, 3))
     ranges = cut(rows.groupBy("source", "__range").agg(F.sum("__size").alias("size")), "ranges")
     targets = cut(source_targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats), "targets")
     w = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
