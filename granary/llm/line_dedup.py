@@ -51,8 +51,8 @@ def _line_rows(min_chars: int):
     return run
 
 
-def _stream(min_docs: int):
-    """Over rows in the order of (key, doc_id): the rows of keys in min_docs documents or more.
+def _stream(min_docs: int, distinct: bool = True):
+    """Over rows in the order of (key, doc_id): the rows of keys in min_docs documents (not distinct: rows) or more.
 
     The first and the last key of a partition may go on in the neighbour. Such a key's count is given as an edge row,
     and its rows, fewer than min_docs documents, are pending unless this partition alone settles them.
@@ -75,12 +75,12 @@ def _stream(min_docs: int):
             doc = batch.column(2).fill_null(np.iinfo(np.int64).min).to_numpy()
             starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             ends = np.r_[starts[1:], len(h1)]
-            fresh = np.r_[True, doc[1:] != doc[:-1]]
+            fresh = np.r_[True, doc[1:] != doc[:-1]] if distinct else np.ones(len(doc), bool)
             fresh[starts] = True
             docs = np.add.reduceat(fresh.astype(np.int64), starts)
             at = 0
             if key == (h1[0], h2[0]):  # goes on
-                seen += int(docs[0]) - (last == doc[0])
+                seen += int(docs[0]) - (distinct and last == doc[0])
                 held.append(batch.slice(0, ends[0]))
                 last, at = doc[ends[0] - 1], 1
                 if seen >= min_docs:
@@ -120,14 +120,19 @@ def _stream(min_docs: int):
 def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     """(doc_id, th, dropped array<array<int>>): the positions of the lines that go; only documents that lose any."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_line_rows(min_chars), _LINES_DDL)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
-    found = cut(ordered.mapInArrow(_stream(min_docs), _OUT_DDL), "lines")
-    # two edge rows for each partition at most, and fewer than min_docs pending documents for each of them
-    edges = found.where(F.col("kind") == _EDGE).groupBy("h1", "h2").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
+    return settled_rows(rows, min_docs).groupBy("doc_id", "th").agg(F.collect_list("pos").alias("dropped"))
+
+
+def settled_rows(rows: DataFrame, least: int, distinct: bool = True) -> DataFrame:
+    """Those of rows (h1, h2, doc_id, th, pos) whose key (h1, h2) is in least documents, or on least rows, or more."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = ["doc_id"] if distinct else ["doc_id", "pos"]
+    ordered = rows.repartitionByRange(parts, "h1", "h2", *spread).sortWithinPartitions("h1", "h2", "doc_id")
+    found = cut(ordered.mapInArrow(_stream(least, distinct), _OUT_DDL), "settled")
+    # two edge rows for each partition at most, and fewer than least pending documents for each of them
+    edges = found.where(F.col("kind") == _EDGE).groupBy("h1", "h2").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least)
     late = found.where(F.col("kind") == _PENDING).join(F.broadcast(edges), ["h1", "h2"], "left_semi")
-    gone = found.where(F.col("kind") == _DROP).unionByName(late)
-    return gone.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("dropped"))
+    return found.where(F.col("kind") == _DROP).unionByName(late)
 
 
 def _apply(with_text: bool):
