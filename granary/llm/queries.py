@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embedding, line_dedup, minhash, mixing, suffix_dedup, token_output, toxicity, warc
+from . import decontam, embedding, licenses, line_dedup, minhash, mixing, suffix_dedup, token_output, toxicity, warc
 from .common import table
 
 _WS = r"[\x09-\x0D\x20]"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("keep_bitmap")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where byte_bpe_50k.json is on this machine, and so on executors that are set up alike."""
     import public_tokenizers
@@ -57,8 +61,47 @@ def _lower(x: str) -> str:
     return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op4_token_output, op5_toxicity, op6_benchmark_decontamination, op7_repeated_bytes, op8_source_mixing, op9_warc, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_license_scan, op4_token_output, op5_toxicity, op6_benchmark_decontamination, op7_repeated_bytes, op8_source_mixing, op9_warc, op10_embedding_near_dedup)}
+def _license_sql() -> str:
+    """Every template at every place where any of its words stands, without the index."""
+    known = licenses.templates()
+    tokens = ", ".join(f"({n}, {j}, '{w}', {t.key[0] <= j <= t.key[1]})" for n, t in enumerate(known) for j, w in enumerate(t.words))
+    rules = ", ".join(f"({n}, {len(t.words)}, {t.needed}, {t.key[1] - t.key[0] + 1}, '{t.label}', {t.base})" for n, t in enumerate(known))
+    return rf"""
+with d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
+v(t, j, word, in_key) as (values {tokens}), r(t, size, needed, key_size, label, base) as (values {rules}),
+u as (select doc_id, unnest(range(len(w))) i, unnest(w) word from d),
+m as (select doc_id, t, i - j as start, count(*) n, count(*) filter (in_key) k from u join v using (word) group by all),
+f as (select m.*, r.* exclude t from m join r using (t) where n >= needed and k = key_size),
+a as (select doc_id, count(*) filter (base) n_base, min(start) filter (base) first_word, max(start) filter (base) last_word,
+    string_agg(distinct label, ',' order by label) filter (base) base_labels, string_agg(distinct label, ',' order by label) labels, max(n / size) score from f group by 1)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0.0)::double score
+from d left join a on d.doc_id is not distinct from a.doc_id"""
+
+
+_EMBEDDING_SQL = r"""
+with recursive e as (select vec_id, embedding::double[] x from embeddings),
+l as (select a.vec_id a, b.vec_id b from e a join e b on a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.95),
+r as (select vec_id node, vec_id reach from e union select r.node, l.b from r join l on r.reach = l.a)
+select node vec_id, (select count(*) from l where a = node)::bigint n_links, min(reach) component_id, node = min(reach) as kept from r group by node"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_embedding_near_dedup": _EMBEDDING_SQL,
+    "op3_license_scan": _license_sql(),
+    "op1_line_dedup": r"""
+with l as (select doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) i, unnest(string_split(coalesce(text, ''), chr(10))) line from documents),
+k as (select doc_id, i, line, translate(regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l),
+f as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*)::bigint n_lines, count(*) filter (f.key is not null)::bigint n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (f.key is null), '')) kept_sha256
+from k left join f on k.key = f.key group by doc_id""",
+    "op9_warc": r"""
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+g as (select *, max(page_id) over (partition by sha256(b)) m from p),
+x as (select *, ('0000' || list_reduce(list_transform(range(20), lambda j: bin(('0x' || substr(sha1(b), 2 * j + 1, 2))::int + 256)[2:]), lambda u, v: u || v)) bits from g)
+select page_id, octet_length(b)::bigint payload_bytes,
+    list_reduce(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_transform(range(5), lambda k: substr(bits, 5 + 5 * j + k, 1)::int), lambda u, v: 2 * u + v), 1)), lambda u, v: u || v) payload_digest,
+    case when page_id = m then 'response' else 'revisit' end record_type, case when page_id = m then null else m end refers_to from x""",
     "op6_benchmark_decontamination": r"""
 with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents where text is not null and doc_id is not null),
 b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null and item_id is not null),
