@@ -1 +1 @@
-
+"""Tables, files and the views that the queries run on."""
