@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_skewed, mix, plain_bytes, shingles_of_words, words_of_texts
+from .common import cut, join_skewed, mix, plain_bytes, shingles_of_words, small_batches, words_of_texts
 from .components import components
 
 HASHES = 128
@@ -119,24 +119,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     sets = cut(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "sets")
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias("s" + side))
     both = join_skewed(join_skewed(pairs, of("b"), "b"), of("a"), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+    with small_batches(pairs.sparkSession, 128):  # a row holds two sets
+        return cut(both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
-def _across(least: float):
+def _across(least: float, percent: int):
     """Of a block of a bucket's members: the pairs of different components that may be similar."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sig = np.stack([np.asarray(s, np.int64) for s in rows["sig"]]).view(np.uint64)
-        ids, comp, part = rows["doc_id"].to_numpy(), rows["comp"].to_numpy(), rows["part"].to_numpy()
+        ids, comp, part, n = (rows[c].to_numpy() for c in ("doc_id", "comp", "part", "n_shingles"))
         i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
         lanes, most = np.uint64(int(_LANES)), (1 - 2.0**-BITS) * (1 - least) * HASHES
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        left, others = np.flatnonzero(part == i), np.flatnonzero(part == j)
         a, b = [], []
         for x in left:
+            sized = np.minimum(n[others], n[x]) * 100 >= np.maximum(n[others], n[x]) * percent
+            right = others[sized & (comp[others] != comp[x])]
             d = sig[right] ^ sig[x]
             d |= d >> np.uint64(2)
             d |= d >> np.uint64(1)
-            near = right[(np.bitwise_count(d & lanes).sum(axis=1) <= most) & (comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))]
+            near = right[(np.bitwise_count(d & lanes).sum(axis=1) <= most) & ((ids[right] > ids[x]) | (i != j))]
             a.append(np.full(len(near), ids[x]))
             b.append(ids[near])
         a, b = np.concatenate([*a, ids[:0]]), np.concatenate([*b, ids[:0]])
@@ -160,26 +163,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sketch = cut(texts.mapInArrow(_sketch(k, band_rows(threshold)), _ROW), "sketch")
     full = sketch.where("doc_id is not null and n_shingles > 0")
     classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = cut(classes.select(F.col("rep").alias("doc_id"), "k1", "k2").join(full.select("doc_id", "k1", "k2", "sig", "bands"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"), "reps")
+    reps = cut(classes.select(F.col("rep").alias("doc_id"), "k1", "k2").join(full.select("doc_id", "k1", "k2", "n_shingles", "sig", "bands"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "bands"), "reps")
 
     members = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = cut(members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
     star = join_skewed(members, buckets, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = cut(_signed(star, reps).select("a", "b", (estimate("sig_a", "sig_b") >= least_estimate(threshold)).alias("near")), "star")
-    links = cut(confirmed(star.where("near").select("a", "b"), texts, k, percent), "links")
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    star = cut(_signed(star, reps).select("a", "b", (sized & (estimate("sig_a", "sig_b") >= least_estimate(threshold))).alias("near")), "star")
+    links = confirmed(star.where("near").select("a", "b"), texts, k, percent)
     settled = cut(components(links), "components")
 
     # buckets that still hold several components
-    placed = cut(reps.join(settled.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", "bands", F.coalesce("component_id", "doc_id").alias("comp")), "placed")
-    members = placed.select("doc_id", "sig", "comp", F.explode("bands").alias("key"))
+    placed = cut(reps.join(settled.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "sig", "bands", F.coalesce("component_id", "doc_id").alias("comp")), "placed")
+    members = placed.select("doc_id", "n_shingles", "sig", "comp", F.explode("bands").alias("key"))
     several = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     several = cut(several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "several")
     own = join_skewed(members, several, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = own.select("key", "doc_id", "comp", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    pairs = blocks.groupBy("key", "i", "j").applyInPandas(_across(least_estimate(threshold)), "a long, b long").distinct()
+    blocks = own.select("key", "doc_id", "n_shingles", "comp", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    pairs = blocks.groupBy("key", "i", "j").applyInPandas(_across(least_estimate(threshold), percent), "a long, b long").distinct()
     pairs = cut(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
-    more = cut(confirmed(pairs, texts, k, percent), "links")
+    more = confirmed(pairs, texts, k, percent)
     if not more.isEmpty():
         settled = cut(components(links.union(more)), "components")
 
@@ -193,5 +197,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def _signed(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """pairs (a, b) with both signatures."""
-    of = lambda side: reps.select(F.col("doc_id").alias(side), F.col("sig").alias("sig_" + side))
+    of = lambda side: reps.select(F.col("doc_id").alias(side), F.col("n_shingles").alias("n_" + side), F.col("sig").alias("sig_" + side))
     return join_skewed(join_skewed(pairs, of("b"), "b"), of("a"), "a")
