@@ -1 +1 @@
-
+"""Pure functions of bytes, without Spark."""
