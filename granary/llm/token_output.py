@@ -27,17 +27,18 @@ MAGIC = b"GRTOK001"
 _HEAD = "<IQQQ"
 #: Tokens after which a block is closed.
 BLOCK_TOKENS = 2_000_000
-#: Pieces of text whose ids a worker remembers, twice at most.
-MEMORY = 400_000
+#: Pieces and pre-tokens whose ids a worker remembers, twice at most.
+PIECES, PRE_TOKENS = 700_000, 350_000
 
 _SPACED = re.compile(r" \s|\s ")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Memory:
-    """A dict of at most two generations of MEMORY entries; what is asked for again moves to the younger one."""
+    """A dict of at most two generations of so many entries; what is asked for again moves to the younger one."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -48,7 +49,7 @@ class Memory:
         return found
 
     def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= MEMORY:
+        if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
@@ -75,7 +76,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = byte_letters()
-        self.pieces, self.tokens = Memory(), Memory()
+        self.pieces, self.tokens = Memory(PIECES), Memory(PRE_TOKENS)
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -134,13 +135,14 @@ def _count(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                own = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                if len(own) > len(counts):
-                    own[: len(counts)] += counts
-                    counts = own
-                else:
-                    counts[: len(own)] += own
+            column = batch.column("ids")
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            own = np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)) if len(column) else counts[:0]
+            if len(own) > len(counts):
+                own[: len(counts)] += counts
+                counts = own
+            else:
+                counts[: len(own)] += own
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
 
