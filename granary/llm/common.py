@@ -75,6 +75,14 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished queries now, not at the driver's next full collection."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_skewed(rows: DataFrame, keyed: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """rows joined to keyed, which has one row for each key, while a key may have any share of rows.
 

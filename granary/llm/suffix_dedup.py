@@ -2,7 +2,8 @@
 
 Instead of sorting all suffixes, each window of `length` bytes is known by its anchor, the least hash of the k-byte
 strings in it, which equal windows share. Runs of windows with one anchor are compared as wholes; only runs that share
-their anchor but differ are taken apart into single windows. Both comparisons are range-partitioned sorts.
+their anchor but differ are taken apart, first into runs of STEP windows, and what is still open into single windows.
+Each comparison is a range-partitioned sort.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, plain_bytes
+from .common import cut, drop_cut, join_skewed, mix, plain_bytes, release
 from .line_dedup import _LINES, _LINES_DDL, settled_rows
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -23,6 +24,9 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CHUNK = 1 << 20
 _POSITION = np.uint64(22)  # bits of a position in a chunk of at most 4 MB
 
+#: Windows of a short run.
+STEP = 16
+
 _RUNS = pa.schema([("ah", pa.int64()), ("dg", pa.int64()), ("rid", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64())])
 _RUNS_DDL = "ah long, dg long, rid long, p0 long, p1 long"
 
@@ -137,28 +141,66 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, which in ((_REPEATED, repeated), (_OPEN, opened)):
             if which.any():
                 part = batch.filter(pa.array(which))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), *(part.column(c) for c in ("rid", "p0", "p1"))], names=["kind", "rid", "p0", "p1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), *part.columns[2:]], names=["kind", *part.schema.names[2:]])
 
 
-def _windows(length: int):
-    """The single windows of open runs: two hashes each."""
+def _pieces(length: int, k: int):
+    """The bytes of open runs, and where in them the anchor is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Rolling()
         for batch in batches:
             for rid, text, spans in zip(batch.column("rid").to_pylist(), plain_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                data = np.frombuffer(text, np.uint8)
-                for s in spans:
-                    p0, p1 = s["p0"], s["p1"]
-                    a = data[p0 : p1 + length]
-                    h.load(a)
-                    at = np.arange(p1 - p0 + 1)
-                    first = mix(h.of(at, at + length))
-                    half = length // 2
-                    second = mix(mix(h.of(at, at + half)) + h.of(at + half, at + length))
-                    m = len(at)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1), pa.int32()), pa.array(at + p0, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.full(m, rid)), pa.array(np.zeros(m, np.int64)), lists], schema=_LINES)
+                data = [text[s["p0"] : s["p1"] + length] for s in spans]
+                anchors = []
+                for piece in data:
+                    h.load(np.frombuffer(piece, np.uint8))
+                    at = np.arange(len(piece) - k + 1)
+                    # a run's anchor lies in all of its windows: from its last window's start to its first window's end
+                    inside = at[len(piece) - length : length - k + 1]
+                    keys = mix(h.of(inside, inside + k)) >> _POSITION
+                    anchors.append(int(inside[np.argmin(keys)]))
+                starts = [s["p0"] for s in spans]
+                yield pa.RecordBatch.from_arrays([pa.array([rid] * len(data), pa.int64()), pa.array(starts, pa.int64()), pa.array(anchors, pa.int64()), pa.array(data, pa.binary())], names=["rid", "start", "anchor", "piece"])
+
+    return run
+
+
+def _short_runs(length: int):
+    """Open runs in steps counted from their anchor: the hash of what all windows of a step share, and of the whole step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = Rolling()
+        for batch in batches:
+            for rid, start, anchor, piece in zip(*(batch.column(c).to_pylist() for c in ("rid", "start", "anchor", "piece")), strict=True):
+                h.load(np.frombuffer(piece, np.uint8))
+                step = (anchor - np.arange(len(piece) - length + 1)) // STEP
+                first = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
+                last = np.r_[first[1:], len(step)] - 1
+                shared = anchor - STEP * step[first]  # the last start that a window of this step can have
+                common = mix(mix(h.of(shared, shared - STEP + 1 + length)) + (anchor - shared).astype(np.uint64))
+                whole = mix(mix(h.of(first, last + length) + (last - first).astype(np.uint64)) + (anchor - first).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(common.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(first), rid)), pa.array(first + start), pa.array(last + start), pa.array(np.full(len(first), start))], names=["ah", "dg", "rid", "p0", "p1", "start"])
+
+    return run
+
+
+def _windows(length: int):
+    """The single windows of open short runs: two hashes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = Rolling()
+        half = length // 2
+        for batch in batches:
+            for rid, start, piece, p0, p1 in zip(*(batch.column(c).to_pylist() for c in ("rid", "start", "piece", "p0", "p1")), strict=True):
+                a = np.frombuffer(piece, np.uint8)[p0 - start : p1 - start + length]
+                h.load(a)
+                at = np.arange(p1 - p0 + 1)
+                first = mix(h.of(at, at + length))
+                second = mix(mix(h.of(at, at + half)) + h.of(at + half, at + length))
+                m = len(at)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1), pa.int32()), pa.array(at + p0, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.full(m, rid)), pa.array(np.zeros(m, np.int64)), lists], schema=_LINES)
 
     return run
 
@@ -215,16 +257,30 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False)
     covers. Texts shorter than length keep everything. Other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    k = max(1, length * 8 // 25)
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text").alias("rid"))
-    runs = rows.select("rid", "text").mapInArrow(_gathered(_runs(length, max(1, length * 8 // 25))), _RUNS_DDL)
-    ordered = runs.repartitionByRange(parts, "ah", "dg", "rid", "p0").sortWithinPartitions("ah", "dg")
-    found = cut(ordered.mapInArrow(_compare, "kind byte, rid long, p0 long, p1 long"), "runs")
+    runs = cut(rows.select("rid", "text").mapInArrow(_gathered(_runs(length, k)), _RUNS_DDL), "runs")
+    found = _compared(runs)
+    drop_cut(runs)
+    release(spark)
     opened = found.where(F.col("kind") == _OPEN).select("rid", "p0", "p1").distinct().groupBy("rid").agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
-    texts = rows.select("rid", "text").join(opened, "rid")
-    windows = texts.select("rid", "text", "spans").mapInArrow(_gathered(_windows(length)), _LINES_DDL)
+    pieces = rows.select("rid", "text").join(opened, "rid")
+    pieces = cut(pieces.select("rid", "text", "spans").mapInArrow(_gathered(_pieces(length, k)), "rid long, start long, anchor long, piece binary"), "pieces")
+    release(spark)
+    short = _compared(cut(pieces.mapInArrow(_gathered(_short_runs(length)), f"{_RUNS_DDL}, start long"), "short"))
+    left = short.where(F.col("kind") == _OPEN).select("rid", "start", "p0", "p1").distinct()
+    windows = pieces.select("rid", "start", "piece").join(left, ["rid", "start"]).mapInArrow(_gathered(_windows(length)), _LINES_DDL)
+    windows = cut(windows.select("h1", "h2", "doc_id", "th", "pos"), "windows")
     again = settled_rows(windows, 2, distinct=False).select(F.col("doc_id").alias("rid"), F.col("pos")[0].cast("long").alias("p0"))
-    spans = found.where(F.col("kind") == _REPEATED).select("rid", "p0", "p1").union(again.select("rid", "p0", F.col("p0").alias("p1")))
-    gone = spans.groupBy("rid").agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
+    release(spark)
+    whole = found.unionByName(short.drop("start")).where(F.col("kind") == _REPEATED).select("rid", "p0", "p1")
+    gone = whole.union(again.select("rid", "p0", F.col("p0").alias("p1"))).groupBy("rid").agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
     return rows.join(gone, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_remove(length, with_text), ddl)
+
+
+def _compared(runs: DataFrame) -> DataFrame:
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = runs.repartitionByRange(parts, "ah", "dg", "rid", "p0").sortWithinPartitions("ah", "dg")
+    kept = ", ".join(f"{c} long" for c in runs.columns[2:])
+    return cut(ordered.mapInArrow(_compare, f"kind byte, {kept}"), "compared")
