@@ -1 +1,268 @@
-"""Queries."""
+"""Queries about what files are."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import codec as C
+from ..operators import inspection as I
+from ..operators import mining as M
+from ..sources import views as V
+from .mining import HIST
+from .registry import query
+
+H = V.HISTORY_SQL
+
+
+@query("e01_entropy", f"""with {HIST}, e as (select file_id, round(-sum(freq / total * log2(freq / total)), 6) h, count(*) u from hist join tot using (file_id) group by 1), n as (select doc_id file_id, octet_length(encode(coalesce(text, '')))::bigint n_bytes from documents)
+ select file_id, n_bytes, abs(coalesce(h, 0.0)) entropy_bits, ceil(round(abs(coalesce(h, 0.0)) * n_bytes / 8, 3))::bigint floor_bytes, coalesce(u, 0) unique_bytes, case when n_bytes = 0 then 'empty' when h >= 7.5 then 'very low' when h >= 6.5 then 'low' when h >= 4.5 then 'moderate' when h >= 2.5 then 'high' else 'very high' end band from n left join e using (file_id)""")
+def e01(s, d):
+    c = V.corpus(s, d)
+    return I.entropy(M.byte_histogram(c), c.select("file_id", "n_bytes"))
+
+
+_LABEL = "case byte when 32 then 'SP' when 9 then 'TAB' when 10 then 'LF' when 13 then 'CR' else case when byte > 32 and byte < 127 then chr(byte) else '0x' || lpad(hex(byte), 2, '0') end end"
+
+
+@query("e02_top_bytes", f"with {HIST}, r as (select *, row_number() over (partition by file_id order by freq desc, byte) place from hist) select *, {_LABEL} label from r where place <= 24")
+def e02(s, d):
+    return I.top_bytes(M.byte_histogram(V.corpus(s, d)))
+
+
+@query("e03_byte_labels", f"select byte::int as byte, {_LABEL} label from (select range::int as byte from range(256))")
+def e03(s, d):
+    return s.range(256).select(F.col("id").cast("int").alias("byte")).withColumn("label", I.byte_label("byte"))
+
+
+@query("e08_length_histogram", "select case when p_partkey % 500 < 256 then 'literal' else 'pattern' end class, 1 + p_size % 16 len, count(*) symbols from part group by all")
+def e08(s, d):
+    return I.length_histogram(V.table(s, d, "part").selectExpr("p_partkey file_id", "p_partkey % 500 sid", "1 + p_size % 16 len"))
+
+
+@query("e09_leaf_counts", "select left(lpad(bin(p_partkey % 1024), 10, '0'), 4) prefix, count(*) leaves from part group by 1")
+def e09(s, d):
+    return V.table(s, d, "part").groupBy(F.substring(F.lpad(F.bin(F.col("p_partkey") % 1024), 10, "0"), 1, 4).alias("prefix")).agg(F.count("*").alias("leaves"))
+
+
+_SYM = "sym as (select l_orderkey file_id, l_partkey % 300 sid, 1 + l_suppkey % 16 bits, case when l_partkey % 300 < 256 then 1 else 2 + l_suppkey % 9 end produced from lineitem)"
+
+
+@query("e10_attribution", f"with {_SYM} select file_id, case when sid < 256 then 'literal' else 'pattern' end class, count(*) symbols, sum(bits)::bigint bits, sum(produced)::bigint bytes, (8 * sum(produced) - sum(bits))::bigint saved_bits, 100 * sum(produced)::bigint / greatest(any_value(t), 1) share_pct from sym join (select file_id, sum(produced)::bigint t from sym group by 1) using (file_id) group by all")
+def e10(s, d):
+    return I.attribution(V.table(s, d, "lineitem").selectExpr("l_orderkey file_id", "l_partkey % 300 sid", "1 + l_suppkey % 16 bits", "case when l_partkey % 300 < 256 then 1 else 2 + l_suppkey % 9 end produced"))
+
+
+@query("e11_explain", f"with {H} select id, case when original_bytes = 0 then 'empty input' when compressed_bytes >= original_bytes then 'stored as is' when space_saved_pct >= 50 then 'saved ' || floor(space_saved_pct)::int || ' percent, mostly by patterns' else 'saved ' || floor(space_saved_pct)::int || ' percent' end sentence from history")
+def e11(s, d):
+    pct = F.floor("space_saved_pct").cast("string")
+    text = F.when(F.col("original_bytes") == 0, "empty input").when(F.col("compressed_bytes") >= F.col("original_bytes"), "stored as is").when(F.col("space_saved_pct") >= 50, F.concat(F.lit("saved "), pct, F.lit(" percent, mostly by patterns")))
+    return V.history(s, d).select("id", text.otherwise(F.concat(F.lit("saved "), pct, F.lit(" percent"))).alias("sentence"))
+
+
+@query("e13_sniff")
+def e13(s, d):
+    rows = V.table(s, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.coalesce("html", F.lit("")).alias("text"))
+    rows = rows.unionByName(V.table(s, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
+    return rows.select("kind", "id", I.sniffed().alias("ext"))
+
+
+@query("e15_is_textual", r"with t as (select doc_id, left(coalesce(text, ''), 4096) h from documents) select doc_id, octet_length(encode(h)) > 0 and not contains(h, chr(0)) and length(regexp_replace(h, '[^\t\n\r\x20-\x7E]', '', 'g')) >= octet_length(encode(h)) * 0.9::double textual from t")
+def e15(s, d):
+    return V.table(s, d, "documents").select("doc_id", I.is_textual(F.substring(F.coalesce("text", F.lit("")), 1, 4096), 0.9).alias("textual"))
+
+
+_NAMED = f"with {H}, n as (select id, filename || case when id % 3 = 0 then '.AFC' else '.afc' end name, case id % 4 when 0 then '.txt' when 1 then '' when 2 then '.json' else '.pdf' end ext from history), s as (select *, left(name, length(name) - 4) stem from n)"
+
+
+@query("e16_restored_name", _NAMED + """ select id, case when instr(stem, '.') > 0 and list_last(string_split(stem, '.')) <> '' and length(list_last(string_split(stem, '.'))) <= 8 and not contains(list_last(string_split(stem, '.')), '/') then stem
+ when ext <> '' and not ends_with(lower(stem), ext) then stem || ext else stem end name from s""")
+def e16(s, d):
+    rows = V.history(s, d).selectExpr("id", "filename || case when id % 3 = 0 then '.AFC' else '.afc' end name", "case id % 4 when 0 then '.txt' when 1 then '' when 2 then '.json' else '.pdf' end ext")
+    return rows.select("id", I.restored_name("name", "ext").alias("name"))
+
+
+@query("e17_hex_preview", "with h as (select doc_id file_id, hex(encode(coalesce(text, ''))) h from documents), l as (select file_id, unnest(range(0, least(32, (length(h) // 2 + 15) // 16)))::int line, h from h) select file_id, line, trim(regexp_replace(substr(left(h, 1024), 32 * line + 1, 32), '(..)', '\\1 ', 'g')) hex from l")
+def e17(s, d):
+    return I.hex_preview(V.corpus(s, d)).select("file_id", "line", "hex")
+
+
+@query("e17_text_preview", "select doc_id, array_to_string(string_split(left(coalesce(text, ''), 4096), chr(10))[:40], chr(10)) head from documents")
+def e17_text(s, d):
+    return V.table(s, d, "documents").select("doc_id", F.array_join(F.slice(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 4096), "\n"), 1, 40), "\n").alias("head"))
+
+
+_EXT = "case when instr(filename, '.') > 0 and not ends_with(filename, '.') then lower(list_last(string_split(filename, '.'))) else '(none)' end"
+
+
+@query("e18_scope", f"with {H}, x as (select id, {_EXT} e from history) select id, case when e = '(none)' then 'no extension' when e in ('png', 'jpg', 'jpeg', 'gif', 'bmp') then 'image' when e in ('exe', 'dll', 'zip', '7z', 'rar', 'mp4', 'mp3') then 'blocked' end error from x")
+def e18(s, d):
+    return V.history(s, d).select("id", I.scope_error().alias("error"))
+
+
+@query("e19_size_policy", f"with {H} select id, case when original_bytes = 0 then 'empty' when original_bytes < 1000000 then 'too small' when original_bytes > 40000000 then 'too large' when sum(original_bytes) over (partition by batch_id order by id) > 60000000 then 'batch too large' end error from history")
+def e19(s, d):
+    return I.size_errors(V.history(s, d), "batch_id", "id", "original_bytes", 1_000_000, 40_000_000, 60_000_000).select("id", "error")
+
+
+@query("e20_human_bytes", f"with {H} select id, case when n < 1024 then n || ' B' when n < 1048576 then n // 1024 || '.' || (n * 10 // 1024) % 10 || ' KB' when n < 1073741824 then n // 1048576 || '.' || (n * 10 // 1048576) % 10 || ' MB' else n // 1073741824 || '.' || (n * 10 // 1073741824) % 10 || ' GB' end size from (select id, case when id % 3 = 0 then original_bytes when id % 3 = 1 then original_bytes % 2000 else original_bytes * 100 end n from history)")
+def e20(s, d):
+    rows = V.history(s, d).selectExpr("id", "case when id % 3 = 0 then original_bytes when id % 3 = 1 then original_bytes % 2000 else original_bytes * 100 end n")
+    return rows.select("id", I.human("n").alias("size"))
+
+
+@query("e21_uptime", "select o_orderkey id, case when n >= 86400 then n // 86400 || 'd ' || (n // 3600) % 24 || 'h ' || (n // 60) % 60 || 'm' when n >= 3600 then (n // 3600) % 24 || 'h ' || (n // 60) % 60 || 'm' else (n // 60) % 60 || 'm' end up from (select o_orderkey, o_orderkey * 37 n from orders)")
+def e21(s, d):
+    return V.table(s, d, "orders").selectExpr("o_orderkey id", "o_orderkey * 37 n").select("id", I.uptime("n").alias("up"))
+
+
+_SEG = "seg as (select l_orderkey file_id, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::int seq, (l_partkey % 3)::int kind, l_quantity::bigint n from lineitem), tile as (select file_id, seq, kind, (sum(n) over (partition by file_id order by seq) - n)::bigint as start, (sum(n) over (partition by file_id order by seq))::bigint as \"end\" from seg)"
+
+
+def _segments(s, d):
+    rows = V.table(s, d, "lineitem").selectExpr("l_orderkey file_id", "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as int) seq", "cast(l_partkey % 3 as int) kind", "cast(l_quantity as bigint) n")
+    return rows.selectExpr("file_id", "seq", "kind", "sum(n) over (partition by file_id order by seq) - n start", "sum(n) over (partition by file_id order by seq) end")
+
+
+@query("d07_payload_class", r"select doc_id, case when octet_length(encode(coalesce(text, ''))) < 64 then 'pooled' when not contains(text, chr(0)) and length(regexp_replace(left(text, 256), '[^\t\n\r\x20-\x7E]', '', 'g')) >= octet_length(encode(left(text, 256))) * 0.85::double then 'pooled' else 'by entropy' end class from documents")
+def d07(s, d):
+    return V.table(s, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", I.payload_class().alias("class"))
+
+
+@query("d08_merge_segments", f'with {_SEG}, f as (select *, case when lag(kind) over (partition by file_id order by start) is distinct from kind then 1 else 0 end n from tile), g as (select *, sum(n) over (partition by file_id order by start) island from f) select file_id, kind, min(start) as start, max("end") as "end" from g group by file_id, island, kind')
+def d08(s, d):
+    return I.merged_segments(_segments(s, d)).drop("island")
+
+
+@query("d09_tiling", f'with {_SEG}, w as (select *, lag("end", 1, 0) over (partition by file_id order by start) b from tile where seq <> 2) select file_id, (count(*) filter (b <> start) + count(*) filter ("end" <= start) + case when max("end") <> any_value(t) then 1 else 0 end)::bigint faults from w join (select file_id, max("end") t from tile group by 1) using (file_id) group by 1')
+def d09(s, d):
+    seg = _segments(s, d)
+    return I.tiling_faults(seg.where("seq <> 2"), seg.groupBy("file_id").agg(F.max("end").alias("n_bytes")))
+
+
+@query("d11_plan_summary", f'with {_SEG} select file_id, count(*) segments, sum("end" - start)::bigint bytes, coalesce(sum("end" - start) filter (kind = 0), 0)::bigint opaque_bytes, coalesce(sum("end" - start) filter (kind = 1), 0)::bigint pooled_bytes from tile group by 1')
+def d11(s, d):
+    return I.plan_summary(_segments(s, d))
+
+
+_PATHS = "p(path) as (values ('a/b.txt'), ('a\\b\\c.txt'), ('./x//y'), ('/etc/passwd'), ('C:/x'), ('a/../b'), (''), ('.'), ('..'), ('a/./b/'))"
+
+
+@query("t20_member_path", f"with {_PATHS}, q as (select path, replace(path, chr(92), '/') t from p), r as (select *, list_filter(string_split(t, '/'), lambda x: x not in ('', '.')) parts from q) select path, case when not (starts_with(t, '/') or substr(t, 2, 1) = ':' or list_contains(parts, '..') or len(parts) = 0) then array_to_string(parts, '/') end safe from r")
+def t20(s, d):
+    rows = [("a/b.txt",), ("a\\b\\c.txt",), ("./x//y",), ("/etc/passwd",), ("C:/x",), ("a/../b",), ("",), (".",), ("..",), ("a/./b/",)]
+    return s.createDataFrame(rows, "path string").select("path", I.member_path("path").alias("safe"))
+
+
+@query("t22_offsets", f"with {H} select id, batch_id, coalesce(sum(compressed_bytes) over (partition by batch_id order by id rows between unbounded preceding and 1 preceding), 0)::bigint as offset from history")
+def t22(s, d):
+    return I.offsets(V.history(s, d), "batch_id", "id", "compressed_bytes").select("id", "batch_id", "offset")
+
+
+@query("t24_download_name", "select page_id, list_last(string_split(replace(url, chr(92), '/'), '/')) name from pages")
+def t24(s, d):
+    return V.table(s, d, "pages").select("page_id", I.download_name("url").alias("name"))
+
+
+@query("t25_registration", "with u as (select c_custkey id, lower(replace(c_name, '#', '_')) name, c_custkey % 10 = 0 short from customer) select id, case when short then 'too short' when not regexp_matches(name, '^[a-z0-9_]{3,32}$') then 'bad characters' when id % 7 = 0 then 'taken' end error from u")
+def t25(s, d):
+    rows = V.table(s, d, "customer").selectExpr("c_custkey id", "lower(replace(c_name, '#', '_')) name")
+    taken = rows.where("id % 7 = 0").select("name").withColumn("taken", F.lit(True))
+    rows = rows.join(taken, "name", "left")
+    return rows.select("id", F.when(F.col("id") % 10 == 0, "too short").when(~F.col("name").rlike("^[a-z0-9_]{3,32}$"), "bad characters").when(F.col("taken"), "taken").alias("error"))
+
+
+_BLOBS = "b as (select doc_id as key, encode(coalesce(text, '')) as data, case when doc_id % 17 = 0 then 'x' else sha256(coalesce(text, '')) end sha256, octet_length(encode(coalesce(text, ''))) + case when doc_id % 19 = 0 then 1 else 0 end byte_size from documents)"
+
+
+@query("s12_verified_read", f"with {_BLOBS} select key, sha256(data) = sha256 and octet_length(data) = byte_size ok from b")
+def s12(s, d):
+    b = V.corpus(s, d).withColumn("sha256", F.when(F.col("file_id") % 17 == 0, "x").otherwise(F.sha2("data", 256))).withColumn("byte_size", F.col("n_bytes") + F.when(F.col("file_id") % 19 == 0, 1).otherwise(0))
+    return I.verified_blobs(b.withColumnRenamed("file_id", "key")).select("key", "ok")
+
+
+@query("s13_chunked_round_trip", "select doc_id as key, sha256(coalesce(text, '')) sha256 from documents")
+def s13(s, d):
+    blobs = V.corpus(s, d).select(F.col("file_id").alias("key"), "data")
+    return I.reassembled(I.chunks(blobs, 1000)).select("key", F.sha2("data", 256).alias("sha256"))
+
+
+@query("s14_key_listing", "select md5(o_orderkey::varchar) as key from orders where o_orderkey % 2 = 0")
+def s14(s, d):
+    return V.table(s, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.md5(F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("tmp-"), F.col("o_orderkey").cast("string"))).alias("key")).where(F.col("key").rlike("^[0-9a-f]{32}$"))
+
+
+@query("s20_manifest_verify", "select 'doc_' || doc_id path, case when doc_id % 11 = 0 then 'missing' when doc_id % 13 = 0 then 'size' when doc_id % 17 = 0 then 'md5' when doc_id % 19 = 0 then 'sha256' else 'ok' end status from documents")
+def s20(s, d):
+    files = V.corpus(s, d).select(F.concat(F.lit("doc_"), F.col("file_id").cast("string")).alias("path"), "file_id", "data", "n_bytes")
+    off = lambda n, wrong, right: F.when(F.col("file_id") % n == 0, wrong).otherwise(right)
+    manifest = files.select("path", off(13, F.lit(-1), F.col("n_bytes")).alias("size"), off(17, F.lit(""), F.md5("data")).alias("md5"), off(19, F.lit(""), F.sha2("data", 256)).alias("sha256"))
+    return I.manifest_status(manifest, files.where("file_id % 11 <> 0").select("path", "data"))
+
+
+@query("s21_pin_subset", "select source corpus, count(*) files, sum(octet_length(encode(text)))::bigint bytes, min(sha256(text)) first_digest from documents where octet_length(encode(text)) between 1 and 5000 group by 1")
+def s21(s, d):
+    rows = V.corpus(s, d).where("n_bytes between 1 and 5000")
+    return rows.groupBy("corpus").agg(F.count("*").alias("files"), F.sum("n_bytes").alias("bytes"), F.min(F.sha2("data", 256)).alias("first_digest"))
+
+
+@query("s03_size_bounded_scan", "select doc_id file_id, octet_length(encode(text))::bigint n_bytes from documents where octet_length(encode(text)) >= 500 and octet_length(encode(text)) <= 3000")
+def s03(s, d):
+    return V.corpus(s, d).where("n_bytes >= 500 and n_bytes <= 3000").select("file_id", "n_bytes")
+
+
+@query("s04_tagged_corpora", "select 'documents' corpus, count(*) files, sum(octet_length(encode(coalesce(text, ''))))::bigint bytes from documents union all select 'pages', count(*), sum(octet_length(encode(coalesce(html, ''))))::bigint from pages union all select 'benchmark', count(*), sum(octet_length(encode(coalesce(text, ''))))::bigint from benchmark")
+def s04(s, d):
+    parts = None
+    for name, column in (("documents", "text"), ("pages", "html"), ("benchmark", "text")):
+        one = V.table(s, d, name).select(F.lit(name).alias("corpus"), F.octet_length(F.coalesce(column, F.lit(""))).alias("n"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.groupBy("corpus").agg(F.count("*").alias("files"), F.sum("n").alias("bytes"))
+
+
+@query("l03_ladder", "with r(preset, turn, shape, large) as (values ('fast', 0, 'default', true), ('fast', 1, 'ngram8', false), ('balanced', 2, 'default', true), ('balanced', 3, 'wide-dict', true), ('balanced', 4, 'ngram6', false), ('balanced', 5, 'ngram8', false), ('maximum', 6, 'default', true), ('maximum', 7, 'wide-dict', true), ('maximum', 8, 'ngram6', false), ('maximum', 9, 'ngram8', false), ('maximum', 10, 'many-merges', true), ('maximum', 11, 'wide-scan', true)), p as (select o_orderkey id, o_totalprice * 100 >= 8388608 big, case o_orderkey % 3 when 0 then 1 when 1 then 5 else 11 end most from orders) select p.id, count(*) rungs from p join r on r.turn <= p.most and (not big or r.large) group by 1")
+def l03(s, d):
+    rows = V.table(s, d, "orders").selectExpr("o_orderkey id", "o_totalprice * 100 >= 8388608 big", "case o_orderkey % 3 when 0 then 'fast' when 1 then 'balanced' else 'maximum' end preset")
+    return rows.join(F.broadcast(C.rungs(s)), ["preset", "big"]).groupBy("id").agg(F.count("*").alias("rungs"))
+
+
+@query("c16_round_trip")
+def c16(s, d):
+    """Every document through the fast preset's first rung and back."""
+    return C.round_trip(V.corpus(s, d).select("file_id", "data"), "fast")
+
+
+@query("c09_baseline_size")
+def c09(s, d):
+    return C.baseline(V.corpus(s, d).select("file_id", "data"))
+
+
+@query("c17_envelope")
+def c17(s, d):
+    return C.envelopes(V.corpus(s, d).select("file_id", "filename", "data"))
+
+
+@query("c23_reference_sizes")
+def c23(s, d):
+    return C.reference_sizes(V.corpus(s, d).select("file_id", "data"))
+
+
+@query("l04_best_of_ladder")
+def l04(s, d):
+    """Over the benchmark's items, whose texts are short."""
+    items = V.table(s, d, "benchmark").select(F.col("item_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    return C.best_of_ladder(items, "balanced")
+
+
+@query("l07_monotone")
+def l07(s, d):
+    items = V.table(s, d, "benchmark").select(F.col("item_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    sizes = [C.best_of_ladder(items, p).select("file_id", F.col("size").alias(p)) for p in ("fast", "balanced", "maximum")]
+    rows = sizes[0].join(sizes[1], "file_id").join(sizes[2], "file_id")
+    return rows.withColumn("ok", (F.col("maximum") <= F.col("balanced")) & (F.col("balanced") <= F.col("fast")))
+
+
+@query("s17_archives")
+def s17(s, d):
+    """The benchmark's items in archives of ten, read back member by member."""
+    items = V.table(s, d, "benchmark").selectExpr("item_id div 10 archive_id", "concat('item_', item_id, '.txt') path", "encode(coalesce(text, ''), 'UTF-8') data")
+    return C.archive_members(C.archives(items))
