@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import codec as C
 from ..operators import inspection as I
+from ..functions import dictionary
 from ..operators import mining as M
+from ..operators import structured as S
 from ..sources import views as V
 from .mining import HIST
 from .registry import query
@@ -266,3 +268,75 @@ def s17(s, d):
     """The benchmark's items in archives of ten, read back member by member."""
     items = V.table(s, d, "benchmark").selectExpr("item_id div 10 archive_id", "concat('item_', item_id, '.txt') path", "encode(coalesce(text, ''), 'UTF-8') data")
     return C.archive_members(C.archives(items))
+
+
+def _pdfs(s, d):
+    """A small PDF for each document: a page, its content, and a stream of near random bytes."""
+    import random
+
+    def build(frames):
+        for f in frames:
+            out = []
+            for i, t in zip(f["doc_id"], f["text"], strict=True):
+                text, noise = (t or "").encode(), random.Random(i).randbytes(400).replace(b"e", b"f")
+                out.append(b"%PDF-1.4\n1 0 obj\n<< /Type /Page /Contents 2 0 R >>\nendobj\n2 0 obj\n<< /Length " + str(len(text)).encode() + b" >>\nstream\n" + text + b"\nendstream\nendobj\n3 0 obj\n<< /Subtype /Image /Filter /FlateDecode >>\nstream\r\n" + noise + b"\r\nendstream\nendobj\n")
+            yield f.assign(file_id=f["doc_id"], data=out)[["file_id", "data"]]
+
+    return V.table(s, d, "documents").select("doc_id", "text").mapInPandas(build, "file_id long, data binary")
+
+
+def _zips(s, d):
+    import io
+    import zipfile
+
+    def build(frames):
+        for f in frames:
+            out = []
+            for t in f["text"]:
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(zipfile.ZipInfo("word/document.xml"), f"<w>{t or ''}</w>")
+                    z.writestr(zipfile.ZipInfo("media/a.bin"), b"\0" * 100)
+                out.append(held.getvalue())
+            yield f.assign(file_id=f["doc_id"], data=out)[["file_id", "data"]]
+
+    return V.table(s, d, "documents").select("doc_id", "text").mapInPandas(build, "file_id long, data binary")
+
+
+@query("d01_pdf_objects", "select doc_id file_id, k.obj, k.kind, case k.obj when 2 then octet_length(encode(coalesce(text, '')))::bigint when 3 then 400 else 0 end length from documents cross join (values (1, 'object'), (2, 'page-content'), (3, 'image')) k(obj, kind) where coalesce(text, '') not like '%endstream%'")
+def d01(s, d):
+    return S.pdf_objects(_pdfs(s, d)).select("file_id", "obj", "kind", "length")
+
+
+@query("d05_zip_members", "select doc_id file_id, n.name, case n.name when 'media/a.bin' then 100 else octet_length(encode(coalesce(text, '')))::bigint + 7 end uncompressed_size from documents cross join (values ('word/document.xml'), ('media/a.bin')) n(name)")
+def d05(s, d):
+    return S.zip_members(_zips(s, d)).select("file_id", "name", "uncompressed_size")
+
+
+@query("d03_pdf_segments")
+def d03(s, d):
+    """Every file's tiling is exact."""
+    files = _pdfs(s, d)
+    return I.tiling_faults(S.segments(files), files.select("file_id", F.octet_length("data").alias("n_bytes"))).withColumn("ok", F.col("faults") == 0)
+
+
+@query("d23_document_report")
+def d23(s, d):
+    files = _pdfs(s, d)
+    return S.document_report(S.pdf_objects(files), S.segments(files))
+
+
+@query("e06_symbols_account_for_all_bytes")
+def e06(s, d):
+    """The symbols of every baseline container give back as many bytes as the file has, in bits within its length."""
+    done = C.mapped(V.corpus(s, d).select("file_id", "data"), dictionary.compress_baseline, "container")
+    sizes = done.select("file_id", F.octet_length("data").alias("n"), F.octet_length("container").alias("c"), (F.hex(F.substring("container", 5, 1)) == "00").alias("raw"))
+    rows = S.symbol_rows(done.select("file_id", F.col("container").alias("data"))).groupBy("file_id").agg(F.sum("produced").alias("made"), F.sum("bits").alias("bits"))
+    rows = sizes.join(rows, "file_id", "left")
+    return rows.select("file_id", (F.col("raw") | ((F.col("made") == F.col("n")) & (F.col("bits") <= 8 * F.col("c")))).alias("ok"))
+
+
+@query("e07_code_tree")
+def e07(s, d):
+    done = C.mapped(V.corpus(s, d).select("file_id", "data"), dictionary.compress_baseline, "container")
+    return S.tree_nodes(S.code_tables(done.select("file_id", F.col("container").alias("data"))))
