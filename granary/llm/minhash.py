@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -124,26 +123,51 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def _across(least: float, percent: int):
-    """Of a block of a bucket's members: the pairs of different components that may be similar."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack([np.asarray(s, np.int64) for s in rows["sig"]]).view(np.uint64)
-        ids, comp, part, n = (rows[c].to_numpy() for c in ("doc_id", "comp", "part", "n_shingles"))
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        lanes, most = np.uint64(int(_LANES)), (1 - 2.0**-BITS) * (1 - least) * HASHES
-        left, others = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        a, b = [], []
-        for x in left:
-            sized = np.minimum(n[others], n[x]) * 100 >= np.maximum(n[others], n[x]) * percent
-            right = others[sized & (comp[others] != comp[x])]
-            d = sig[right] ^ sig[x]
-            d |= d >> np.uint64(2)
-            d |= d >> np.uint64(1)
-            near = right[(np.bitwise_count(d & lanes).sum(axis=1) <= most) & ((ids[right] > ids[x]) | (i != j))]
-            a.append(np.full(len(near), ids[x]))
-            b.append(ids[near])
-        a, b = np.concatenate([*a, ids[:0]]), np.concatenate([*b, ids[:0]])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    """Over blocks (key, i, j) of buckets, each in one piece: the pairs of different components that may be similar."""
+    lanes, most = np.uint64(int(_LANES)), (1 - 2.0**-BITS) * (1 - least) * HASHES
+
+    def pairs_of(ids, comp, n, part, sig, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        left = np.flatnonzero(part == i)
+        right = left if i == j else np.flatnonzero(part == j)
+        x, y = np.repeat(left, len(right)), np.tile(right, len(left))
+        some = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        if i == j:
+            some &= ids[x] < ids[y]
+        x, y = x[some], y[some]
+        d = sig[x] ^ sig[y]
+        d |= d >> np.uint64(2)
+        d |= d >> np.uint64(1)
+        near = np.bitwise_count(d & lanes).sum(axis=1) <= most
+        return ids[x[near]], ids[y[near]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, i, j, part = (t.column(c).to_numpy() for c in ("key", "i", "j", "part"))
+            ids, comp, n = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n_shingles"))
+            sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(t), -1).view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            found = [pairs_of(ids[s:e], comp[s:e], n[s:e], part[s:e], sig[s:e], i[s], j[s]) for s, e in zip(starts, [*starts[1:], len(key)], strict=True)]
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = [batch.column(c)[len(batch) - 1].as_py() for c in ("key", "i", "j")]
+            same = np.logical_and.reduce([batch.column(c).to_numpy() == x for c, x in zip(("key", "i", "j"), last, strict=True)])
+            begin = int(np.argmax(same))  # the block that is open starts here
+            if begin:
+                yield from out(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+                held = []
+            elif held and [held[-1].column(c)[len(held[-1]) - 1].as_py() for c in ("key", "i", "j")] != last:
+                yield from out(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield from out(pa.Table.from_batches(held))
 
     return run
 
@@ -181,7 +205,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     own = join_skewed(members, several, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = own.select("key", "doc_id", "n_shingles", "comp", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    pairs = blocks.groupBy("key", "i", "j").applyInPandas(_across(least_estimate(threshold), percent), "a long, b long").distinct()
+    blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = blocks.mapInArrow(_across(least_estimate(threshold), percent), "a long, b long").distinct()
     pairs = cut(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
     more = confirmed(pairs, texts, k, percent)
     if not more.isEmpty():
