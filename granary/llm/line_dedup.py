@@ -30,7 +30,7 @@ def _line_rows(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, hashes = batch.column("th"), batch.column("doc_id")
+            ids, hashes = batch.column("doc_id"), batch.column("th")
             digests, owners, positions, sizes = [], [], [], []
             for k, text in enumerate(plain_bytes(batch.column("text"))):
                 found: dict[bytes, list[int]] = {}
@@ -46,7 +46,7 @@ def _line_rows(min_chars: int):
                 pair = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
                 own = pa.array(owners, pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(positions, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), hashes.take(own), ids.take(own), lists], schema=_LINES)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), ids.take(own), hashes.take(own), lists], schema=_LINES)
 
     return run
 

@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontam, embedding, licenses, line_dedup, minhash, mixing, suffix_dedup, token_output, toxicity, warc
 from .common import table
 
-_WS = r"[\x09-\x0D\x20]"
-
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("keep_bitmap")
@@ -57,10 +55,6 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
-def _lower(x: str) -> str:
-    return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_license_scan, op4_token_output, op5_toxicity, op6_benchmark_decontamination, op7_repeated_bytes, op8_source_mixing, op9_warc, op10_embedding_near_dedup)}
 def _license_sql() -> str:
     """Every template at every place where any of its words stands, without the index."""
@@ -86,6 +80,19 @@ r as (select vec_id node, vec_id reach from e union select r.node, l.b from r jo
 select node vec_id, (select count(*) from l where a = node)::bigint n_links, min(reach) component_id, node = min(reach) as kept from r group by node"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: hash(array_to_string(w[i:i+2], ' '))))) g from w where len(w) > 0),
+c as (select *, min(doc_id) over (partition by g) rep from s),
+r as (select doc_id rep, g, len(g) n from c where doc_id = rep),
+e as (select rep, n, unnest(g) x from r),
+p as (select a.rep a, b.rep b, count(*) shared, any_value(a.n) na, any_value(b.n) nb from e a join e b on a.x = b.x and a.rep < b.rep and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2),
+l as (select a, b from p where 100 * shared >= 85 * (na + nb - shared)),
+u as (select a, b from l union all select b, a from l),
+t as (select rep node, rep reach from r union select t.node, u.b from t join u on t.reach = u.a),
+m as (select node, min(reach) component_id from t group by 1)
+select d.doc_id, coalesce(len(g), 0)::bigint n_shingles, coalesce(component_id, d.doc_id) component_id, d.doc_id = coalesce(component_id, d.doc_id) as kept
+from documents d left join c on c.doc_id = d.doc_id left join m on m.node = c.rep""",
     "op10_embedding_near_dedup": _EMBEDDING_SQL,
     "op3_license_scan": _license_sql(),
     "op1_line_dedup": r"""

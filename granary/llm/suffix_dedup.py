@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, join_skewed, mix, plain_bytes, release
+from .common import cut, drop_cut, mix, plain_bytes, release
 from .line_dedup import _LINES, _LINES_DDL, settled_rows
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

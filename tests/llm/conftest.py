@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from granary.llm.common import table  # noqa: F401
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
