@@ -340,3 +340,13 @@ def e06(s, d):
 def e07(s, d):
     done = C.mapped(V.corpus(s, d).select("file_id", "data"), dictionary.compress_baseline, "container")
     return S.tree_nodes(S.code_tables(done.select("file_id", F.col("container").alias("data"))))
+
+
+@query("d20_deflate_round_trip")
+def d20(s, d):
+    return S.deflate_round_trip(V.corpus(s, d))
+
+
+@query("d19_component_containers")
+def d19(s, d):
+    return S.component_round_trip(_zips(s, d))

@@ -31,7 +31,7 @@ def test_matches_sql(spark, duck, name):
     assert got == sorted(str([r[i] for i in at]) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", ["c04_kraft_sums", "c09_baseline_size", "c17_envelope", "s17_archives", "d03_pdf_segments", "e06_symbols_account_for_all_bytes"])
+@pytest.mark.parametrize("name", ["c04_kraft_sums", "c09_baseline_size", "c17_envelope", "s17_archives", "d03_pdf_segments", "d19_component_containers", "d20_deflate_round_trip", "e06_symbols_account_for_all_bytes"])
 def test_every_row_is_ok(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     assert rows and all(r["ok"] for r in rows)
