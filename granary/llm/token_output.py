@@ -30,7 +30,7 @@ BLOCK_TOKENS = 2_000_000
 #: Pieces and pre-tokens whose ids a worker remembers, twice at most.
 PIECES, PRE_TOKENS = 700_000, 350_000
 
-_SPACED = re.compile(r" \s|\s ")
+UNSAFE = "a piece that can't be told from its neighbours"
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -103,18 +103,31 @@ class Encoder:
             return self._pre_token(word) + (self._pre_token(text[len(word) :]) if len(word) < len(text) else b"")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _looked_up(self, piece: str) -> bytes | str:
+        """The ids of a piece between lone spaces; UNSAFE for one that white space begins or ends."""
+        found = self.pieces.get(piece)
+        if found is None:
+            edges = piece[1:][-1:] if piece[:1] == "\0" else piece[:1] + piece[-1:] or " "
+            found = UNSAFE if any(c.isspace() for c in edges) else self._piece(piece)
+            self.pieces.put(piece, found)
+        return found
+
+    def _by_safe_spaces(self, text: str) -> bytes:
+        first, *rest = _SAFE_SPACE.split(text)
+        return b"".join(self._piece(p) for p in ("\0" + first, *rest))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
-            first, *rest = (_SAFE_SPACE.split(text) if _SPACED.search(text) else text.split(" ")) if text else [""]
+            first, *rest = text.split(" ") if text else [""]
             pieces = ["\0" + first, *rest]
             ids = [*map(self.pieces.young.get, pieces)]
-            for at in [i for i, x in enumerate(ids) if x is None] if None in ids else ():
-                piece = pieces[at]
-                if (found := self.pieces.get(piece)) is None:
-                    self.pieces.put(piece, found := self._piece(piece))
-                ids[at] = found
-            out.append(b"".join(ids))
+            if None in ids:
+                ids = [self._looked_up(p) if x is None else x for p, x in zip(pieces, ids, strict=True)]
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # UNSAFE is no bytes: a space next to other white space
+                out.append(self._by_safe_spaces(text))
         return out
 
 
