@@ -9,6 +9,7 @@ from ..operators import inspection as I
 from ..functions import dictionary
 from ..operators import mining as M
 from ..operators import structured as S
+from ..sources import synthetic
 from ..sources import views as V
 from .mining import HIST
 from .registry import query
@@ -350,3 +351,15 @@ def d20(s, d):
 @query("d19_component_containers")
 def d19(s, d):
     return S.component_round_trip(_zips(s, d))
+
+
+@query("l09_option_ablation")
+def l09(s, d):
+    """Over the benchmark's items, whose texts are short."""
+    items = V.table(s, d, "benchmark").select(F.col("item_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    return C.option_ablation(items).groupBy("variant").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("s23_synthetic_files")
+def s23(s, d):
+    return synthetic.files(s, 5).groupBy("kind").agg(F.count("*").alias("files"), F.sum(F.octet_length("data")).alias("bytes"), F.min(F.sha2("data", 256)).alias("first_digest"))

@@ -92,3 +92,21 @@ def test_streaming_limiter_equals_batch(spark, tmp_path):
     q = failure_windows(stream, seconds=86400, limit=3).writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.event_id, r.failures) for r in spark.table("decisions").collect()} == want
+
+
+def test_synthetic_files_and_ablation(spark):
+    rows = {r.kind: r for r in QUERIES["s23_synthetic_files"](spark, SF).collect()}
+    assert len(rows) == 6 and all(r.files == 5 and r.bytes > 500 for r in rows.values())
+    sizes = {r.variant: r.bytes for r in QUERIES["l09_option_ablation"](spark, SF).collect()}
+    assert len(sizes) == 7 and sizes["all"] <= sizes["none"]
+
+
+def test_archive_source(spark, tmp_path):
+    from granary.functions import container, dictionary
+    from granary.sources.files import ArchiveSource, folder
+
+    (tmp_path / "a.pak").write_bytes(container.pack_archive([("x/y.txt", b"hello " * 20), ("z", b"")], dictionary.compress_baseline))
+    spark.dataSource.register(ArchiveSource)
+    got = {(r.path, bytes(r.data)) for r in spark.read.format("granary-archive").option("path", f"file://{tmp_path}").load().collect()}
+    assert got == {("x/y.txt", b"hello " * 20), ("z", b"")}
+    assert folder(spark, str(tmp_path), least=1).count() == 1 and folder(spark, str(tmp_path), most=2).count() == 0
