@@ -126,7 +126,7 @@ def _across(least: float, percent: int):
     """Over blocks (key, i, j) of buckets, each in one piece: the pairs of different components that may be similar."""
     lanes, most = np.uint64(int(_LANES)), (1 - 2.0**-BITS) * (1 - least) * HASHES
 
-    def pairs_of(ids, comp, n, part, sig, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(ids, comp, n, part, sig, earlier, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         left = np.flatnonzero(part == i)
         right = left if i == j else np.flatnonzero(part == j)
         x, y = np.repeat(left, len(right)), np.tile(right, len(left))
@@ -138,7 +138,11 @@ def _across(least: float, percent: int):
         d |= d >> np.uint64(2)
         d |= d >> np.uint64(1)
         near = np.bitwise_count(d & lanes).sum(axis=1) <= most
-        return ids[x[near]], ids[y[near]]
+        x, y = x[near], y[near]
+        if earlier.shape[1]:
+            first = ~(earlier[x] == earlier[y]).any(axis=1)
+            x, y = x[first], y[first]
+        return ids[x], ids[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -148,7 +152,12 @@ def _across(least: float, percent: int):
             ids, comp, n = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n_shingles"))
             sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(t), -1).view(np.uint64)
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-            found = [pairs_of(ids[s:e], comp[s:e], n[s:e], part[s:e], sig[s:e], i[s], j[s]) for s, e in zip(starts, [*starts[1:], len(key)], strict=True)]
+            lists = t.column("earlier").combine_chunks()
+            bands, at = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            found = []
+            for s, e in zip(starts, [*starts[1:], len(key)], strict=True):  # the rows of a block are of one band
+                earlier = bands[at[s] : at[e]].reshape(e - s, -1)
+                found.append(pairs_of(ids[s:e], comp[s:e], n[s:e], part[s:e], sig[s:e], earlier, i[s], j[s]))
             a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
@@ -199,12 +208,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # buckets that still hold several components
     placed = cut(reps.join(settled.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "sig", "bands", F.coalesce("component_id", "doc_id").alias("comp")), "placed")
-    members = placed.select("doc_id", "n_shingles", "sig", "comp", F.explode("bands").alias("key"))
+    # a row knows the earlier bands of its document, so that a pair is given in the first band that it shares alone
+    members = placed.select("doc_id", "n_shingles", "sig", "comp", "bands", F.posexplode("bands").alias("band", "key"))
+    members = members.withColumn("earlier", F.expr("transform(slice(bands, 1, band), x -> cast(shiftright(x, 32) as int))")).drop("bands", "band")
     several = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     several = cut(several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "several")
     own = join_skewed(members, several, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = own.select("key", "doc_id", "n_shingles", "comp", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    blocks = own.select("key", "doc_id", "n_shingles", "comp", "sig", "earlier", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = blocks.mapInArrow(_across(least_estimate(threshold), percent), "a long, b long").distinct()
     pairs = cut(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
