@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| over their distinct k-word shingles. Equal sets
     are one class and are represented by their least doc_id. Within each band's bucket every class is first compared
-    with the bucket's least one; only where a bucket still holds several components are their members compared with
+    with the one whose own buckets are largest, as a text is that many copies resemble; only where a bucket still holds several components are their members compared with
     each other, in blocks, so a bucket of similar texts costs a comparison each and no link between components is lost.
     Texts without words (null and empty too) have no shingles and stand alone. Rows that repeat a doc_id are one
     document with the component of any of them; a null doc_id has a null component and is kept. Other columns are ignored.
@@ -199,8 +199,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = cut(classes.select(F.col("rep").alias("doc_id"), "k1", "k2").join(full.select("doc_id", "k1", "k2", "n_shingles", "sig", "bands"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "bands"), "reps")
 
     members = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = cut(members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    star = join_skewed(members, buckets, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    sizes = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    met = cut(join_skewed(members, sizes, "key"), "met")
+    # whose bands are the most crowded is most like the others: the copied text itself, where copies differ from each other
+    central = cut(met.groupBy("doc_id").agg(F.sum("n").alias("weight")), "central")
+    placed = cut(met.drop("n").join(central, "doc_id"), "placed")
+    buckets = cut(placed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("top")).select("key", (-F.col("top.id")).alias("hub")), "buckets")
+    star = join_skewed(placed.drop("weight"), buckets, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     star = cut(_signed(star, reps).select("a", "b", (sized & (estimate("sig_a", "sig_b") >= least_estimate(threshold))).alias("near")), "star")
     links = confirmed(star.where("near").select("a", "b"), texts, k, percent)
