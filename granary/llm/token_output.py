@@ -96,8 +96,8 @@ class Encoder:
         return found
 
     def _piece(self, piece: str) -> bytes:
-        """piece: a NUL and a text's first piece, or a later one without its space."""
-        text = piece[1:] if piece[:1] == "\0" else " " + piece
+        """piece: a space and a text's first piece, or a later one without its space, which no space begins."""
+        text = piece[1:] if piece[:1] == " " else " " + piece
         word = text.rstrip(".,;:!?")
         if word[word[:1] == " " :].isalpha():  # a word and marks: two pre-tokens
             return self._pre_token(word) + (self._pre_token(text[len(word) :]) if len(word) < len(text) else b"")
@@ -107,20 +107,20 @@ class Encoder:
         """The ids of a piece between lone spaces; UNSAFE for one that white space begins or ends."""
         found = self.pieces.get(piece)
         if found is None:
-            edges = piece[1:][-1:] if piece[:1] == "\0" else piece[:1] + piece[-1:] or " "
+            edges = piece[1:][-1:] if piece[:1] == " " else piece[:1] + piece[-1:] or " "
             found = UNSAFE if any(c.isspace() for c in edges) else self._piece(piece)
             self.pieces.put(piece, found)
         return found
 
     def _by_safe_spaces(self, text: str) -> bytes:
         first, *rest = _SAFE_SPACE.split(text)
-        return b"".join(self._piece(p) for p in ("\0" + first, *rest))
+        return b"".join(self._piece(p) for p in (" " + first, *rest))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
             first, *rest = text.split(" ") if text else [""]
-            pieces = ["\0" + first, *rest]
+            pieces = [" " + first, *rest]
             ids = [*map(self.pieces.young.get, pieces)]
             if None in ids:
                 ids = [self._looked_up(p) if x is None else x for p, x in zip(pieces, ids, strict=True)]

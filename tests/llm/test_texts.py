@@ -144,6 +144,13 @@ def test_pieces_encode_as_whole_texts():
         assert np.frombuffer(encoder.encode([text])[0], encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_that_begin_with_nul():
+    encoder = token_output.Encoder(tokenizer_path())
+    assert np.frombuffer(encoder.encode(["a \0b"])[0], encoder.kind).tolist() == [64, 220, 188, 65]
+    for text in [" \0", " \0b", "\0b", "\0", "\0 \0 b", "a \0", "a  \0b \0", "\0b  \0 b", "b \0b b", "\0 a", " a \0\0b", "  \0b"]:
+        assert np.frombuffer(encoder.encode([text])[0], encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_variable_length_coding():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, 7] * 3, np.uint32)
     assert (token_output.unpack(*token_output.pack(ranks), len(ranks)) == ranks).all()
