@@ -151,6 +151,15 @@ def test_pieces_that_begin_with_nul():
         assert np.frombuffer(encoder.encode([text])[0], encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    encoder, plain = token_output.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    assert np.frombuffer(encoder.encode(["a<|endoftext|>b"])[0], encoder.kind).tolist() == [64, 50256, 65]
+    for text in ["<|endoftext|>", " <|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b", "a.<|endoftext|><|endoftext|> .", "a\n <|endoftext|>\n b", "<|endoftext| >", "a <|endoftext|>b c<|endoftext|>"]:
+        assert np.frombuffer(encoder.encode([text])[0], encoder.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_variable_length_coding():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, 7] * 3, np.uint32)
     assert (token_output.unpack(*token_output.pack(ranks), len(ranks)) == ranks).all()
