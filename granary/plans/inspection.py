@@ -251,15 +251,13 @@ def c23(s, d):
 
 @query("l04_best_of_ladder")
 def l04(s, d):
-    """Over the benchmark's items, whose texts are short."""
-    items = V.table(s, d, "benchmark").select(F.col("item_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    return C.best_of_ladder(items, "balanced")
+    return C.best_of_ladder(V.corpus(s, d).select("file_id", "data"), "balanced")
 
 
 @query("l07_monotone")
 def l07(s, d):
-    items = V.table(s, d, "benchmark").select(F.col("item_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    sizes = [C.best_of_ladder(items, p).select("file_id", F.col("size").alias(p)) for p in ("fast", "balanced", "maximum")]
+    files = V.corpus(s, d).select("file_id", "data")
+    sizes = [C.best_of_ladder(files, p).select("file_id", F.col("size").alias(p)) for p in ("fast", "balanced", "maximum")]
     rows = sizes[0].join(sizes[1], "file_id").join(sizes[2], "file_id")
     return rows.withColumn("ok", (F.col("maximum") <= F.col("balanced")) & (F.col("balanced") <= F.col("fast")))
 
@@ -355,9 +353,7 @@ def d19(s, d):
 
 @query("l09_option_ablation")
 def l09(s, d):
-    """Over the benchmark's items, whose texts are short."""
-    items = V.table(s, d, "benchmark").select(F.col("item_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    return C.option_ablation(items).groupBy("variant").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return C.option_ablation(V.corpus(s, d).select("file_id", "data")).groupBy("variant").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
 @query("s23_synthetic_files")

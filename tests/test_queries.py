@@ -1,5 +1,6 @@
 """Registered queries against their SQL on the smallest tables, and mining against brute force."""
 
+import hashlib
 from collections import Counter
 
 import duckdb
@@ -101,6 +102,23 @@ def test_synthetic_files_and_ablation(spark):
     assert len(sizes) == 7 and sizes["all"] <= sizes["none"]
 
 
+def test_searches_run_over_whole_documents(spark, tmp_path, monkeypatch):
+    from granary.functions import dictionary
+    from granary.operators.codec import VARIANTS
+
+    texts = {1: "the cat and the dog and the cat " * 20, 2: None, 3: "".join(chr(97 + i * i % 23) for i in range(700)), 4: "a b " * 700}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    monkeypatch.setattr(dictionary, "LARGE", 2000)  # the last text takes the rungs of large inputs
+    got = {r.file_id: (r["size"], r.sha256) for r in QUERIES["l04_best_of_ladder"](spark, str(tmp_path)).collect()}
+    best = {i: dictionary.best_of_ladder(b, "balanced") for i, b in data.items()}
+    assert got == {i: (len(b), hashlib.sha256(b).hexdigest()) for i, b in best.items()}
+    rows = QUERIES["l07_monotone"](spark, str(tmp_path)).collect()
+    assert {r.file_id: r.balanced for r in rows} == {i: len(b) for i, b in best.items()} and all(r.ok for r in rows)
+    for r in QUERIES["l09_option_ablation"](spark, str(tmp_path)).collect():
+        assert (r.files, r.bytes) == (4, sum(len(dictionary.compress(b, dictionary.Options(**VARIANTS[r.variant]))) for b in data.values()))
+
+
 def test_archive_source(spark, tmp_path):
     from granary.functions import container, dictionary
     from granary.sources.files import ArchiveSource, folder
