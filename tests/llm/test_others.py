@@ -125,3 +125,56 @@ def test_pipeline(spark):
     before, after = seen[3]
     assert after.count() == sum(r.copies for r in mixing.mixture(before).collect())
     assert cp.STAGES[4][1](spark, docs, SF).count() == docs.count()
+
+
+def test_pipeline_against_independent_versions(spark, tmp_path):
+    """Stages 2 to 5 against brute force and SQL; of the learned stage 1, that it splits by the scores of op5."""
+    import re
+    import zlib
+
+    import corpus_pipeline as cp
+    import duckdb
+    from granary.llm.queries import ORACLE_SQL, tokenizer_path
+    from tokenizers import Tokenizer
+
+    at = [spark.read.parquet(f"{SF}/documents.parquet")]
+    for name, stage in cp.STAGES:
+        stage(spark, at[-1], SF).write.parquet(f"{tmp_path}/{name}.parquet")
+        at.append(spark.read.parquet(f"{tmp_path}/{name}.parquet"))
+    ids = [sorted(r.doc_id for r in df.select("doc_id").collect()) for df in at]
+    scores = toxicity.toxicity(at[0], spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    assert ids[1] == sorted(r.doc_id for r in scores if r.score < 0.5) and len(ids[1]) < len(ids[0])
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, least = {}, {}
+    for r in at[1].collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(lower))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    for i in sorted(sets):
+        if i not in least:
+            least[i], todo = i, [i]
+            while todo:
+                a = sets[todo.pop()]
+                for j in sets:
+                    if j not in least and a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                        least[j] = i
+                        todo.append(j)
+    assert ids[2] == sorted(i for i in least if least[i] == i)
+
+    def by_sql(query, docs):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{docs}/*.parquet'")
+        con.execute(f"create view benchmark as select * from '{SF}/benchmark.parquet'")
+        cur = con.execute(ORACLE_SQL[query])
+        names = [d[0] for d in cur.description]
+        return [dict(zip(names, x, strict=True)) for x in cur.fetchall()]
+
+    leaks = {r["doc_id"] for r in by_sql("op6_benchmark_decontamination", f"{tmp_path}/near_dedup.parquet")}
+    assert ids[3] == [i for i in ids[2] if i not in leaks]
+    want = collections.Counter({r["doc_id"]: r["taken"] // r["size"] for r in by_sql("op8_source_mixing", f"{tmp_path}/decontamination.parquet") if r["taken"]})
+    got = collections.Counter(i for i in ids[4] if i in want)
+    assert got == want
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    held = sorted((r.doc_id, zlib.crc32(np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for r in at[4].collect())
+    assert sorted((r.doc_id, r.ids_crc32) for r in at[5].collect()) == held
