@@ -57,7 +57,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: in
 
     Documents probe the minima of all items; who meets one is a candidate and is verified on all shingles of the item.
     Words are runs of digits, ASCII letters and non-ASCII characters, A-Z lower-cased, so punctuation doesn't hide a passage.
-    Null and empty texts, on either side, and null ids match nothing. Rows that repeat an id count as one text that
+    An item of fewer than k words is one shingle, its whole sequence, which only a document of just those words has:
+    such an item is not found inside a longer document. Null and empty texts, on either side, and null ids match nothing. Rows that repeat an id count as one text that
     holds the shingles of all of them. Other columns are ignored.
     """
     index = cut(index_items(benchmark.select("item_id", "text"), k, percent), "items")
