@@ -32,7 +32,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix is written as token files; a row for each document that they hold."""
+    """The mix is written as token files in the order of doc_id, not in the mix's; a row for each document that they hold."""
     return token_output.token_output(docs, tokenizer_path(), end_id=2)
 
 
