@@ -6,7 +6,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder if everything runs in the driver's process, else one in the warehouse.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="granary-")
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        found = "file://" + tempfile.mkdtemp(prefix="granary-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/granary-scratch"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -37,24 +40,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what is written meanwhile, where rows are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """The tables that one run of an operator writes on its way; they go when it ends, and only its result stays."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+    def path(self, name: str) -> str:
+        self.paths.append(fresh_path(self.spark, name))
+        return self.paths[-1]
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes a table that cut() wrote; nothing may read it afterwards."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -87,7 +102,8 @@ def join_skewed(rows: DataFrame, keyed: DataFrame, key: str | list[str], how: st
     """rows joined to keyed, which has one row for each key, while a key may have any share of rows.
 
     Both must be written tables or row-wise maps of such, never the direct result of an aggregation: then each side has
-    an exchange of its own, and adaptive execution splits a partition of rows that one key has made large.
+    an exchange of its own, and adaptive execution splits a partition of rows that one key has made large (by default
+    one of over 256 MB and five times the median; what is smaller is no burden for a task).
     """
     return rows.join(keyed, key, how)
 
