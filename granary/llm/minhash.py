@@ -294,7 +294,7 @@ def confirmed(members: DataFrame, texts: DataFrame, k: int, percent: int, tables
 
     A set is shipped once to each block that it is a member of, in pieces.
     """
-    members = tables.cut(members, "members")
+    members = tables.cut(members.distinct(), "members")  # texts that share a doc_id may have met a hub several times
     nodes = members.select("doc_id").distinct()
     pieces = texts.join(nodes, "doc_id", "left_semi").mapInArrow(_set_pieces(k), _PIECES_DDL)
     pieces = tables.cut(pieces.dropDuplicates(["doc_id", "v", "at"]), "pieces")
@@ -345,7 +345,7 @@ def _near_duplicates(texts: DataFrame, k: int, percent: int, tables: Scratch) ->
 
     pairs = tables.cut(star_pairs(reps.select(F.explode("bands").alias("key"), "doc_id"), tables), "pairs")
     sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    near = _signed(pairs, reps).where(sized & (estimate("sig_a", "sig_b") >= least)).select("a", "b", "n_a", "n_b").distinct()
+    near = _signed(pairs, reps).where(sized & (estimate("sig_a", "sig_b") >= least)).select("a", "b", "n_a", "n_b")
     near = tables.cut(near, "near")
     # a hub is part 0 of its blocks, its members are parts from 1 on
     hubs = near.groupBy("a").agg(F.count("*").alias("n"), F.sum("n_b").alias("shingles")).select("a", _parts("n", "shingles").alias("parts"))
