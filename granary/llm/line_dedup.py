@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -117,17 +118,41 @@ def _stream(min_docs: int, distinct: bool = True):
     return run
 
 
-def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    """(doc_id, th, dropped array<array<int>>): the positions of the lines that go; only documents that lose any."""
+def pack_keep(dropped: list[list[int]]) -> bytes:
+    """The compressed bitmap of the lines that stay (a set bit each), as far as the last that goes; all after it stay."""
+    keep = np.ones(-(-(max(map(max, dropped)) + 1) // 8) * 8, bool)
+    for at in dropped:
+        keep[at] = False
+    return zlib.compress(np.packbits(keep).tobytes())
+
+
+def unpack_keep(bitmap: bytes | None, n: int) -> np.ndarray:
+    """Which of n lines stay; without a bitmap all do."""
+    keep = np.ones(n, bool)
+    if bitmap:
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8))[:n]
+        keep[: len(bits)] = bits
+    return keep
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [pack_keep(x) for x in batch.column("dropped").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(packed, pa.binary())], names=["doc_id", "th", "keep_bitmap"])
+
+
+def keep_bitmaps(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
+    """(doc_id, th, keep_bitmap) of the documents that lose lines, without their texts; th: the text's 64-bit hash."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_line_rows(min_chars), _LINES_DDL)
-    return settled_rows(rows, min_docs).groupBy("doc_id", "th").agg(F.collect_list("pos").alias("dropped"))
+    dropped = settled_rows(rows, min_docs).groupBy("doc_id", "th").agg(F.collect_list("pos").alias("dropped"))
+    return dropped.mapInArrow(_bitmaps, "doc_id long, th long, keep_bitmap binary")
 
 
 def settled_rows(rows: DataFrame, least: int, distinct: bool = True) -> DataFrame:
     """Those of rows (h1, h2, doc_id, th, pos) whose key (h1, h2) is in least documents, or on least rows, or more."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = ["doc_id"] if distinct else ["doc_id", "pos"]
-    ordered = rows.repartitionByRange(parts, "h1", "h2", *spread).sortWithinPartitions("h1", "h2", "doc_id")
+    ordered = rows.repartitionByRange(parts, "h1", "h2", *spread).sortWithinPartitions("h1", "h2", "doc_id", F.col("pos")[0])
     found = cut(ordered.mapInArrow(_stream(least, distinct), _OUT_DDL), "settled")
     # two edge rows for each partition at most, and fewer than least pending documents for each of them
     edges = found.where(F.col("kind") == _EDGE).groupBy("h1", "h2").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least)
@@ -138,20 +163,18 @@ def settled_rows(rows: DataFrame, least: int, distinct: bool = True) -> DataFram
 def _apply(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, gone, maps, shas, kept_texts = [], [], [], [], []
-            for text, dropped in zip(plain_bytes(batch.column("text")), batch.column("dropped").to_pylist(), strict=True):
-                lines = (text or b"").split(b"\n")
-                keep = np.ones(len(lines), bool)
-                for at in dropped or ():
-                    keep[at] = False
-                kept = b"\n".join([x for x, k in zip(lines, keep, strict=True) if k]) if dropped else text or b""
-                total.append(len(lines))
-                gone.append(len(lines) - int(keep.sum()))
-                maps.append(zlib.compress(np.packbits(keep).tobytes()))
+            total, gone, shas, kept_texts = [], [], [], []
+            for text, bitmap in zip(plain_bytes(batch.column("text")), batch.column("keep_bitmap").to_pylist(), strict=True):
+                kept, n, out = text or b"", (text or b"").count(b"\n") + 1, 0
+                if bitmap:
+                    keep = unpack_keep(bitmap, n)
+                    kept, out = b"\n".join(compress(kept.split(b"\n"), keep)), n - int(keep.sum())
+                total.append(n)
+                gone.append(out)
                 shas.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
                     kept_texts.append(kept.decode())
-            columns = [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(maps, pa.binary()), pa.array(shas, pa.string())]
+            columns = [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), batch.column("keep_bitmap"), pa.array(shas, pa.string())]
             names = ["doc_id", "n_lines", "n_dropped", "keep_bitmap", "kept_sha256"]
             if with_text:
                 columns, names = [*columns, pa.array(kept_texts, pa.string())], [*names, "kept_text"]
@@ -161,15 +184,15 @@ def _apply(with_text: bool):
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, with_text: bool = False) -> DataFrame:
-    """One row per row of docs: n_lines, n_dropped, keep_bitmap (zlib of np.packbits, a bit per line), kept_sha256.
+    """One row per row of docs: doc_id, n_lines, n_dropped, keep_bitmap (see unpack_keep; null where all stays), kept_sha256.
 
     Each key's rows are range-partitioned by (hash, doc_id), sorted, and read once as a stream; a key that fills
     several partitions is split between them, and only the partitions' edges are summed afterwards.
     Null and empty texts: one empty line, never dropped. Rows that repeat a doc_id are one document in the counts,
     yet each keeps a row of its own; a null doc_id counts as one more document. Other columns are ignored.
     """
-    gone = dropped_lines(docs.select("doc_id", "text"), min_docs, min_chars).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "dropped")
+    maps = keep_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "keep_bitmap")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["d"]) & (rows["th"] == gone["t"]), "left").select("doc_id", "text", "dropped")
+    joined = rows.join(maps, rows["doc_id"].eqNullSafe(maps["d"]) & (rows["th"] == maps["t"]), "left").select("doc_id", "text", "keep_bitmap")
     ddl = "doc_id long, n_lines long, n_dropped long, keep_bitmap binary, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_apply(with_text), ddl)
