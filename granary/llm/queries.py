@@ -44,7 +44,7 @@ def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +125,13 @@ t as (select *, row_number() over (order by source nulls last) - 1 turn from s),
 u as (select *, turn % 3 + 1 weight, source_size * 3 most from t),
 v as (select *, (sum(source_size) over () - coalesce(sum(most) over (order by most / weight, turn rows between unbounded preceding and 1 preceding), 0))::double
     / (sum(weight) over (order by most / weight, turn rows between current row and unbounded following))::double as lev from u),
-x as (select source, source_size, least(most::double, weight * coalesce((select min_by(lev, struct_pack(r := most / weight, turn := turn)) from v where lev <= most / weight), 'infinity'::double)) target from v),
-y as (select o.*, source_size, target, coalesce(sum(size) over (partition by o.source order by ord, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint bef
-    from o join x on o.source is not distinct from x.source),
-z as (select *, case when source_size = 0 then 0 when target >= 3 * source_size then 3 else floor(target / source_size)::bigint end passes from y)
-select doc_id, size, source_size, target, (size * (passes + case when source_size > 0 and passes < 3 and bef + size / 2 <= target - passes * source_size then 1 else 0 end))::bigint as taken from z""",
+x as (select source, turn, source_size, least(most::double, weight * coalesce((select min_by(lev, struct_pack(r := most / weight, turn := turn)) from v where lev <= most / weight), 'infinity'::double)) target from v),
+w as (select *, [-0.5, 0.0, 0.5][turn % 3 + 1]::double sl from x),
+c as (select *, round(sl - coalesce(sum(target * sl) over () / nullif(sum(target) over (), 0), 0), 6) slope from w),
+y as (select o.*, source_size, target, slope, coalesce(sum(size) over (partition by o.source order by ord, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint bef
+    from o join c on o.source is not distinct from c.source),
+z as (select *, case when source_size = 0 then 0 when target >= 3 * source_size then 3 else floor(target / source_size)::bigint end passes from y),
+q as (select *, (passes + case when source_size > 0 and passes < 3 and bef + size / 2 <= target - passes * source_size then 1 else 0 end)::int copies, bef / greatest(target, 1.0) u from z)
+select doc_id, size, source_size, target, (size * copies)::bigint taken, copies,
+    case when copies > 0 then round(least(greatest(coalesce((slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * u)) / nullif(2 * slope, 0.0), u), 0.0), 1.0), 6)::double + 0.0 end first_position from q""",
 }
