@@ -32,8 +32,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix is written as token files in the order of doc_id, not in the mix's; a row for each document that they hold."""
-    return token_output.token_output(docs, tokenizer_path(), end_id=2)
+    """The mix is written as token files in its training order, the order of the files of docs; a row for each document
+    that they hold. Docs that aren't read from files are written in the order of doc_id."""
+    return token_output.token_output(docs, tokenizer_path(), end_id=2, order=token_output.file_order(docs))
 
 
 STAGES = [("toxicity", not_toxic), ("near_dedup", near_dedup), ("decontamination", decontaminated), ("mixing", mixed), ("tokens", tokens)]

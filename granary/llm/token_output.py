@@ -14,12 +14,14 @@ import struct
 import sys
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import cut, drop_cut, file_system, fresh_path, qualified
 
@@ -27,9 +29,11 @@ MAGIC = b"GRTOK001"
 _HEAD = "<IQQQ"
 #: Tokens after which a block is closed.
 BLOCK_TOKENS = 2_000_000
-#: Pieces and pre-tokens whose ids a worker remembers, twice at most.
-PIECES, PRE_TOKENS = 700_000, 350_000
+#: Pieces whose ids a worker remembers, twice at most; characters of texts whose unknown pieces are encoded together.
+PIECES, GROUP = 700_000, 2_000_000
 
+#: What may follow a word's letters as a pre-token of its own (an apostrophe may not).
+MARKS = ".,;:!?%*$&#@()"
 UNSAFE = "a piece that can't be told from its neighbours"
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -66,7 +70,7 @@ class Encoder:
 
     Byte-level pre-tokenization never joins what stands before a lone space with what follows it: the space opens a
     new pre-token. So a text is encoded piece by piece, each from such a space on, and most pieces have been met.
-    What of a piece hasn't been met goes to the tokenizer's model pre-token by pre-token.
+    The others of a group of texts go to the tokenizer as one text, whose ids part where a token begins with a space.
     """
 
     def __init__(self, path: str) -> None:
@@ -74,8 +78,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.letters = byte_letters()
-        self.pieces, self.tokens = Memory(PIECES), Memory(PRE_TOKENS)
+        self.pieces, self.marks = Memory(PIECES), Memory(PIECES // 100)
+        space = byte_letters()[32]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(chr(space))]] = True
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -86,43 +93,87 @@ class Encoder:
             held[path] = cls(path)
         return held[path]
 
-    def _pre_token(self, text: str) -> bytes:
-        found = self.tokens.get(text)
-        if found is None:
-            letters = text.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.kind).tobytes()
-            self.tokens.put(text, found)
-        return found
-
-    def _piece(self, piece: str) -> bytes:
-        """piece: a space and a text's first piece, or a later one without its space, which no space begins."""
-        text = piece[1:] if piece[:1] == " " else " " + piece
-        word = text.rstrip(".,;:!?")
-        if word[word[:1] == " " :].isalpha():  # a word and marks: two pre-tokens
-            return self._pre_token(word) + (self._pre_token(text[len(word) :]) if len(word) < len(text) else b"")
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _looked_up(self, piece: str) -> bytes | str:
-        """The ids of a piece between lone spaces; UNSAFE for one that white space begins or ends."""
-        found = self.pieces.get(piece)
-        if found is None:
-            edges = piece[1:][-1:] if piece[:1] == " " else piece[:1] + piece[-1:] or " "
-            found = UNSAFE if any(c.isspace() for c in edges) else self._piece(piece)
-            self.pieces.put(piece, found)
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _met(self, pieces: list[str]) -> dict[str, bytes | str]:
+        """The ids of pieces that aren't remembered among the latest: " " and a text's first piece, or a later one.
+
+        A piece that white space begins or ends is UNSAFE.
+        """
+        found: dict[str, bytes | str] = {}
+        marked: list[tuple[str, str, str]] = []
+        later: list[str] = []
+        get, put = self.pieces.get, self.pieces.put
+        for piece in pieces:
+            known = get(piece)
+            if known is not None:
+                found[piece] = known
+            elif piece[:1] == " ":
+                found[piece] = UNSAFE if piece[1:][-1:].isspace() else self._ids(piece[1:]).tobytes()
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                found[piece] = UNSAFE
+            else:
+                word = piece.rstrip(MARKS)
+                if len(word) == len(piece) or not word.isalpha():
+                    later.append(piece)
+                else:  # letters, then marks: two pre-tokens
+                    marked.append((piece, word, piece[len(word) :]))
+                    known = get(word)
+                    if known is None:
+                        later.append(word)
+                    else:
+                        found[word] = known
+        if later:
+            later = [*dict.fromkeys(later)]
+            ids = self._ids(" " + " ".join(later))
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) == len(later):  # each piece has one space, its first character
+                raw, at = ids.tobytes(), [*(begins * ids.itemsize).tolist(), ids.nbytes]
+                for piece, s, e in zip(later, at, at[1:], strict=False):
+                    found[piece] = raw[s:e]
+            else:
+                found |= {p: self._ids(" " + p).tobytes() for p in later}
+        for piece, word, marks in marked:
+            known = self.marks.get(marks)
+            if known is None:
+                known = self._ids(marks).tobytes()
+                self.marks.put(marks, known)
+            found[piece] = found[word] + known
+        for piece, ids in found.items():
+            put(piece, ids)
         return found
 
     def _by_safe_spaces(self, text: str) -> bytes:
         first, *rest = _SAFE_SPACE.split(text)
-        return b"".join(self._piece(p) for p in (" " + first, *rest))
+        return b"".join([self._ids(first).tobytes(), *(self._ids(" " + p).tobytes() for p in rest)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
+        """The ids of each text; texts go in groups of some GROUP characters."""
+        out: list[bytes] = []
+        group, size = [], 0
         for text in texts:
-            first, *rest = text.split(" ") if text else [""]
-            pieces = [" " + first, *rest]
-            ids = [*map(self.pieces.young.get, pieces)]
-            if None in ids:
-                ids = [self._looked_up(p) if x is None else x for p, x in zip(pieces, ids, strict=True)]
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= GROUP:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        split, missing, known = [], set(), self.pieces.young.get
+        for text in texts:
+            pieces = text.split(" ")
+            pieces[0] = " " + pieces[0]
+            ids = [*map(known, pieces)]
+            gaps = [(i, pieces[i]) for i, x in enumerate(ids) if x is None] if None in ids else ()
+            missing.update([p for _, p in gaps])
+            split.append((ids, gaps))
+        found = self._met(sorted(missing)) if missing else {}
+        out = []
+        for text, (ids, gaps) in zip(texts, split, strict=True):
+            for i, piece in gaps:
+                ids[i] = found[piece]
             try:
                 out.append(b"".join(ids))
             except TypeError:  # UNSAFE is no bytes: a space next to other white space
@@ -131,6 +182,8 @@ class Encoder:
 
 
 def _encode(path: str, end_id: int):
+    """ids of each row's text; all columns but the text are kept."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_worker(path)
         end = np.array([end_id], encoder.kind).tobytes()
@@ -138,7 +191,8 @@ def _encode(path: str, end_id: int):
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 ids = [x + end for x in encoder.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                kept = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(ids, pa.binary())], names=[*kept, "ids"])
 
     return run
 
@@ -243,18 +297,34 @@ def _write(folder: str, rank_of: np.ndarray, kind: str):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[DataFrame, str]:
+def file_order(docs: DataFrame) -> list[Column]:
+    """Keys by which the rows of docs stand as they were written, if docs are read from files that Spark wrote as the
+    partitions of a sorted table: the part's number, its file, the row in it. Of other tables, no keys."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        keys = [F.regexp_extract(at["file_name"], r"part-(\d+)", 1).try_cast("long"), at["file_name"], at["row_index"]]
+        docs.select(*keys).schema  # noqa: B018  resolves them
+    except AnalysisException:
+        return []
+    return keys
+
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, order: Sequence[Column] = ()) -> tuple[DataFrame, str]:
     """Writes the token files of docs; their manifest (part, file, n_docs, n_tokens, start), and the file of ranks.
 
-    Files hold the documents in ascending order of doc_id (null first), a range of ids each. Frequencies are counted
-    over all documents; they, the ranks and a manifest row per file are all that the driver gets. Null and empty
-    texts consist of the end id alone. Rows that repeat a doc_id are so many documents, in the order of their ids.
+    Files hold the documents in the order of the columns given, or of doc_id (null first), a range of it each; rows
+    that are alike in it stand in the order of a hash of their ids. Frequencies are counted over all documents; they,
+    the ranks and a manifest row per file are all that the driver gets. Null and empty texts consist of the end id
+    alone. Rows that repeat a doc_id are so many documents.
     """
     spark = docs.sparkSession
     kind = Encoder(tokenizer_path).kind.str
+    by = [f"key{i}" for i in range(len(order))]
+    rows = docs.select("doc_id", "text", *(c.alias(n) for c, n in zip(order, by, strict=True)))
+    schema = StructType([*(f for f in rows.schema.fields if f.name != "text"), StructField("ids", BinaryType())])
     ids = fresh_path(spark, "ids")
-    docs.select("doc_id", "text").mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, ids binary").write.option("compression", "zstd").parquet(ids)
-    ids = spark.read.schema("doc_id long, ids binary").parquet(ids)
+    rows.mapInArrow(_encode(tokenizer_path, end_id), schema).write.option("compression", "zstd").parquet(ids)
+    ids = spark.read.schema(schema).parquet(ids)
     counts = ids.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # one row per id of the vocabulary
     counts = counts.sort_values(["n", "id"], ascending=[False, True])
     id_of = counts["id"].to_numpy(np.uint32)
@@ -266,7 +336,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[Dat
     with fs.open_output_stream(f"{path}/ranks", compression=None) as out:
         out.write(id_of.astype("<u4").tobytes())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    keys = [*(by or ["doc_id"]), F.xxhash64("ids")]
+    ordered = ids.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
     manifest = cut(ordered.mapInArrow(_write(folder, rank_of, kind), "part long, file string, n_docs long, n_tokens long"), "manifest")
     drop_cut(ids)
     files = manifest.orderBy("part").collect()
@@ -296,6 +367,6 @@ def read_tokens(manifest: DataFrame, ranks: str) -> DataFrame:
     return manifest.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2, order: Sequence[Column] = ()) -> DataFrame:
     """Encodes every whole text, writes the token files and gives what they hold: see write_tokens and read_tokens."""
-    return read_tokens(*write_tokens(docs, tokenizer_path, end_id))
+    return read_tokens(*write_tokens(docs, tokenizer_path, end_id, order))
