@@ -15,9 +15,11 @@ import sys
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +31,18 @@ MAGIC = b"GRTOK001"
 _HEAD = "<IQQQ"
 #: Tokens after which a block is closed.
 BLOCK_TOKENS = 2_000_000
-#: Pieces whose ids a worker remembers, twice at most; characters of texts whose unknown pieces are encoded together.
-PIECES, GROUP = 700_000, 2_000_000
+#: Pieces whose ids a worker remembers, twice at most; bytes of texts whose pieces are looked up together.
+PIECES, GROUP = 700_000, 4_000_000
 
 #: What may follow a word's letters as a pre-token of its own (an apostrophe may not).
 MARKS = ".,;:!?%*$&#@()"
-UNSAFE = "a piece that can't be told from its neighbours"
+#: Stands for the ids of a piece that can't be told from its neighbours; its length is that of no ids.
+UNSAFE = b"?"
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Memory:
-    """A dict of at most two generations of so many entries; what is asked for again moves to the younger one."""
+    """A dict of two generations of about so many entries each; what is asked for again moves to the younger one."""
 
     def __init__(self, most: int) -> None:
         self.most = most
@@ -48,14 +51,12 @@ class Memory:
 
     def get(self, key: str) -> bytes | None:
         found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
+        return self.old.get(key) if found is None else found
 
-    def put(self, key: str, value: bytes) -> None:
+    def update(self, found: dict[str, bytes]) -> None:
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
-        self.young[key] = value
+        self.young.update(found)
 
 
 def byte_letters() -> dict[int, int]:
@@ -96,88 +97,98 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _met(self, pieces: list[str]) -> dict[str, bytes | str]:
+    def _met(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of pieces that aren't remembered among the latest: " " and a text's first piece, or a later one.
 
         A piece that white space begins or ends is UNSAFE.
         """
-        found: dict[str, bytes | str] = {}
+        found: dict[str, bytes] = {}
         marked: list[tuple[str, str, str]] = []
-        later: list[str] = []
-        get, put = self.pieces.get, self.pieces.put
+        later: dict[str, None] = {}
+        get, older = self.pieces.get, self.pieces.old.get
         for piece in pieces:
-            known = get(piece)
+            known = older(piece)
             if known is not None:
                 found[piece] = known
             elif piece[:1] == " ":
                 found[piece] = UNSAFE if piece[1:][-1:].isspace() else self._ids(piece[1:]).tobytes()
+            elif piece.isalpha():
+                later[piece] = None
             elif not piece or piece[0].isspace() or piece[-1].isspace():
                 found[piece] = UNSAFE
             else:
                 word = piece.rstrip(MARKS)
                 if len(word) == len(piece) or not word.isalpha():
-                    later.append(piece)
+                    later[piece] = None
                 else:  # letters, then marks: two pre-tokens
                     marked.append((piece, word, piece[len(word) :]))
                     known = get(word)
                     if known is None:
-                        later.append(word)
+                        later[word] = None
                     else:
                         found[word] = known
         if later:
-            later = [*dict.fromkeys(later)]
             ids = self._ids(" " + " ".join(later))
             begins = np.flatnonzero(self.spaced[ids])
             if len(begins) == len(later):  # each piece has one space, its first character
                 raw, at = ids.tobytes(), [*(begins * ids.itemsize).tolist(), ids.nbytes]
-                for piece, s, e in zip(later, at, at[1:], strict=False):
-                    found[piece] = raw[s:e]
+                found.update(zip(later, [raw[s:e] for s, e in pairwise(at)], strict=True))
             else:
-                found |= {p: self._ids(" " + p).tobytes() for p in later}
+                found.update((p, self._ids(" " + p).tobytes()) for p in later)
         for piece, word, marks in marked:
             known = self.marks.get(marks)
             if known is None:
                 known = self._ids(marks).tobytes()
-                self.marks.put(marks, known)
+                self.marks.update({marks: known})
             found[piece] = found[word] + known
-        for piece, ids in found.items():
-            put(piece, ids)
+        self.pieces.update(found)
         return found
 
     def _by_safe_spaces(self, text: str) -> bytes:
         first, *rest = _SAFE_SPACE.split(text)
         return b"".join([self._ids(first).tobytes(), *(self._ids(" " + p).tobytes() for p in rest)])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; texts go in groups of some GROUP characters."""
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each text; texts go in groups of some GROUP bytes."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
         out: list[bytes] = []
-        group, size = [], 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= GROUP:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        split, missing, known = [], set(), self.pieces.young.get
-        for text in texts:
-            pieces = text.split(" ")
-            pieces[0] = " " + pieces[0]
-            ids = [*map(known, pieces)]
-            gaps = [(i, pieces[i]) for i, x in enumerate(ids) if x is None] if None in ids else ()
-            missing.update([p for _, p in gaps])
-            split.append((ids, gaps))
-        found = self._met(sorted(missing)) if missing else {}
-        out = []
-        for text, (ids, gaps) in zip(texts, split, strict=True):
-            for i, piece in gaps:
-                ids[i] = found[piece]
-            try:
-                out.append(b"".join(ids))
-            except TypeError:  # UNSAFE is no bytes: a space next to other white space
-                out.append(self._by_safe_spaces(text))
+        while len(out) < len(column):
+            begin = len(out)
+            done = int(ends[begin - 1]) if begin else 0
+            out += self._group(column.slice(begin, max(1, int(np.searchsorted(ends, done + GROUP)) - begin)))
+        return out
+
+    def _group(self, texts: pa.Array) -> list[bytes]:
+        """Texts are split and their distinct pieces looked up once; the ids are gathered by the pieces' numbers."""
+        texts = pc.fill_null(texts, "")
+        pieces = pc.split_pattern(texts, " ")
+        begins = pieces.offsets.to_numpy()[:-1] - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        firsts = [" " + keys[i] for i in number[begins].tolist()]
+        number[begins] = len(keys) + np.arange(len(firsts))
+        keys += firsts
+        ids = [*map(self.pieces.young.get, keys)]
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        found = self._met({keys[i] for i in gaps}) if gaps else {}
+        for i in gaps:
+            ids[i] = found[keys[i]]
+        size = np.array([*map(len, ids)], np.int64)
+        unsafe = size == len(UNSAFE)
+        for i in np.flatnonzero(unsafe).tolist():
+            ids[i] = b""
+        size = np.where(unsafe, 0, size // self.kind.itemsize)
+        pool = np.frombuffer(b"".join(ids), self.kind)
+        own = size[number]
+        place = np.repeat((np.cumsum(size) - size)[number] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        raw = pool[place].tobytes()
+        ends = [0, *(np.cumsum(np.add.reduceat(own, begins)) * self.kind.itemsize).tolist()]
+        out = [raw[s:e] for s, e in pairwise(ends)]
+        if unsafe.any():  # a space next to other white space
+            for i in np.flatnonzero(np.logical_or.reduceat(unsafe[number], begins)).tolist():
+                out[i] = self._by_safe_spaces(texts[i].as_py())
         return out
 
 
@@ -188,9 +199,9 @@ def _encode(path: str, end_id: int):
         encoder = Encoder.of_worker(path)
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                ids = [x + end for x in encoder.encode(part.column("text").to_pylist())]
+            for at in range(0, len(batch), 2000):
+                part = batch.slice(at, 2000)
+                ids = [x + end for x in encoder.encode(part.column("text"))]
                 kept = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(ids, pa.binary())], names=[*kept, "ids"])
 
