@@ -1,4 +1,9 @@
-"""Embedding near-dedup by an inverted multi-index: a codebook for each half of the vectors, their product as the grid."""
+"""Embedding near-dedup by an inverted multi-index: a codebook for each half of the vectors, their product as the grid.
+
+A search visits the grid's cells in the order in which the multi-sequence algorithm gives them, by the sum of both
+halves' excess distances, and stops where that sum passes the index's reach: the sum within which the target share of
+neighbours at the threshold lies. Since all cells up to one sum are visited, tasks need not walk them one by one.
+"""
 
 from __future__ import annotations
 
@@ -12,17 +17,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_skewed
+from .common import Scratch, cut, join_skewed
 from .components import components
 
 #: Vectors that codebooks and the reach of the search are fitted on, at most (those whose id hashes lowest).
 FIT_ROWS = 20_000
 #: Share of neighbours at the threshold whose cell a search must visit; nearer ones are met more surely.
 TARGET_RECALL = 0.9995
-#: Vectors a cell should hold, and the most centroids of a half.
-PER_CELL, MOST_CENTROIDS = 32, 256
-#: Vectors of a row of the grid, and queries, that meet in one group of a task.
-MEMBERS, QUERIES = 1024, 2048
+#: Vectors a cell should hold, and vectors of the sample for each centroid of a half (2,500 at most, then cells grow).
+PER_CELL, PER_CENTROID = 32, 8
+#: Vectors of a band of the grid (neighbouring rows), and queries, that meet in one group of a task.
+MEMBERS, QUERIES = 4096, 4096
 
 
 @dataclass
@@ -40,7 +45,7 @@ class Index:
 
     def excess(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of both halves to all centroids, less the least of them."""
-        return _excess(x[:, : self.half], self.first), _excess(x[:, self.half :], self.second)
+        return _same_excess(x[:, : self.half], self.first), _same_excess(x[:, self.half :], self.second)
 
 
 def _excess(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -48,6 +53,12 @@ def _excess(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return d - d.min(axis=1, keepdims=True)
 
 
+def _same_excess(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """_excess without a matrix product, whose last bits depend on how many vectors go through it at once."""
+    d = (centroids * centroids).sum(1) - 2 * np.einsum("ij,kj->ik", np.ascontiguousarray(x), centroids, optimize=False)
+    return d - d.min(axis=1, keepdims=True)
+
+
 def _codebook(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(10):
@@ -64,7 +75,7 @@ def fit(x: np.ndarray, total: int, threshold: float, recall: float = TARGET_RECA
     threshold, drawn in random directions around the sample, stay within."""
     rng = np.random.default_rng(7)
     half = (x.shape[1] + 1) // 2
-    k = int(min(max(1, np.ceil(np.sqrt(total / PER_CELL))), MOST_CENTROIDS, len(x)))
+    k = int(min(max(1, np.ceil(np.sqrt(total / PER_CELL))), max(1, FIT_ROWS // PER_CENTROID), len(x)))
     index = Index(_codebook(x[:, :half], k, rng), _codebook(x[:, half:], k, rng), 0.0, threshold)
     at = rng.choice(len(x), min(len(x), 4000), replace=False)
     tot = []
@@ -108,7 +119,7 @@ def _vectors(column, dim: int) -> np.ndarray:
 
 
 def _cells(indexes: dict[int, Index]):
-    """For each vector its own cell, and the rows of the grid that its search visits with what is left of the reach."""
+    """For each vector its own cell, and the rows of the grid that its search visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,19 +129,20 @@ def _cells(indexes: dict[int, Index]):
                 for at in range(0, len(own), 1000):
                     part = own.slice(at, 1000)
                     first, second = index.excess(_vectors(part.column("unit").to_pylist(), int(dim)))
-                    left = index.reach - first
-                    rows = [np.flatnonzero(x >= 0) for x in left]
+                    rows = [np.flatnonzero(x) for x in index.reach - first >= 0]
                     yield pa.RecordBatch.from_arrays(
-                        [*(part.column(c) for c in ("vec_id", "n", "dim", "unit")), pa.array(first.argmin(axis=1), pa.int32()), pa.array(second.argmin(axis=1), pa.int32()),
-                         pa.array(rows, pa.list_(pa.int32())), pa.array([x[r] for x, r in zip(left, rows, strict=True)], pa.list_(pa.float64()))],
-                        names=["vec_id", "n", "dim", "unit", "c1", "c2", "rows", "left"],
+                        [*(part.column(c) for c in ("vec_id", "n", "dim", "unit")), pa.array(first.argmin(axis=1), pa.int32()), pa.array(second.argmin(axis=1), pa.int32()), pa.array(rows, pa.list_(pa.int32()))],
+                        names=["vec_id", "n", "dim", "unit", "c1", "c2", "rows"],
                     )
 
     return run
 
 
 def _meet(indexes: dict[int, Index]):
-    """Queries against the members of the cells they visit: links counted, and a spanning forest instead of all pairs."""
+    """Queries against the members of the cells they visit: links counted, and a spanning forest instead of all pairs.
+
+    A pair that both searches meet is counted by either at its own end; one that only one search meets, at both ends.
+    """
 
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(queries):
@@ -138,18 +150,28 @@ def _meet(indexes: dict[int, Index]):
         dim = int(members["dim"].iloc[0])
         index = indexes[dim]
         m, q = _vectors(members["unit"], dim), _vectors(queries["unit"], dim)
-        mid, qid, size, cell = (x.to_numpy() for x in (members["vec_id"], queries["vec_id"], members["n"], members["c2"]))
-        visits = _excess(q[:, index.half :], index.second) <= queries["left"].to_numpy()[:, None]
+        mid, msize, m1, m2 = (members[c].to_numpy() for c in ("vec_id", "n", "c1", "c2"))
+        qid, qsize, q1, q2 = (queries[c].to_numpy() for c in ("vec_id", "n", "c1", "c2"))
+        first, second = index.excess(q)
+        left = index.reach - first
+        order = np.lexsort((m2, m1))
+        cuts = np.flatnonzero(np.r_[True, (np.diff(m1[order]) != 0) | (np.diff(m2[order]) != 0), True])
         a, b = [], []
-        for c in np.unique(cell):
-            rows, cols = np.flatnonzero(visits[:, c]), np.flatnonzero(cell == c)
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            cols = order[s:e]
+            rows = np.flatnonzero(second[:, m2[cols[0]]] <= left[:, m1[cols[0]]])
             i, j = np.nonzero(q[rows] @ m[cols].T >= index.threshold)
             a.append(rows[i])
             b.append(cols[j])
         a, b = np.concatenate(a), np.concatenate(b)
         other = qid[a] != mid[b]
         a, b = a[other], b[other]
-        links = np.bincount(a, size[b], len(q)).astype(np.int64)
+        met = np.unique(b)
+        back1, back2 = index.excess(m[met])
+        at = np.searchsorted(met, b)
+        alone = ~(back2[at, q2[a]] <= index.reach - back1[at, q1[a]])  # the member's search doesn't visit the query's cell
+        links = np.bincount(a, msize[b], len(q)).astype(np.int64)
+        given = np.bincount(b[alone], qsize[a[alone]], len(m)).astype(np.int64)
         of_q, of_m = qid.copy(), mid.copy()
         while True:  # least label of each component of this block
             np.minimum.at(of_m, b, of_q[a])
@@ -157,24 +179,42 @@ def _meet(indexes: dict[int, Index]):
             np.minimum.at(of_q, a, of_m[b])
             if (before == of_q).all():
                 break
-        some_q, some_m = links > 0, np.zeros(len(m), bool)
-        some_m[b] = True
-        return pd.DataFrame({"vec_id": np.r_[qid[some_q], mid[some_m]], "links": np.r_[links[some_q], np.zeros(some_m.sum(), np.int64)], "label": np.r_[of_q[some_q], of_m[some_m]]})
+        some = links > 0
+        return pd.DataFrame({"vec_id": np.r_[qid[some], mid[met]], "links": np.r_[links[some], given[met]], "label": np.r_[of_q[some], of_m[met]]})
 
     return run
 
 
+def _bands(counts: list[tuple[int, int]]) -> dict[int, int]:
+    """Rows of a grid with their numbers of vectors to bands: neighbours share a band of some MEMBERS vectors."""
+    out, band, held = {}, 0, 0
+    for row, n in counts:
+        if held and held + n > MEMBERS:
+            band, held = band + 1, 0
+        out[row] = band
+        held += n
+    return out
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept (vec_id = component_id).
 
     Equal vectors are one class with one representative; a class's links count all its copies. Cells whose excess
     distance stays within the index's reach are visited in both directions of a pair, and every vector there is
-    verified by its cosine in double precision. Rows of the grid are dealt out in blocks, so one crowded cell is
-    shared between tasks. Vectors that are null, empty, zero or hold null or non-finite components link with nothing;
-    vectors of different lengths don't link. Rows that repeat a vec_id are so many vectors in the counts, with one id.
-    A null vec_id links with nothing, has a null component and is kept. Other columns are ignored.
+    verified by its cosine in double precision; a link counts at both ends, whichever search finds it. A query goes to
+    a band of the grid's rows once; bands are dealt out in blocks, so one crowded cell is shared between tasks.
+
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
+    lengths don't link. Rows that repeat a vec_id are so many vectors in the counts, with one id. A null vec_id links
+    with nothing, has a null component and is kept. Other columns are ignored.
     """
-    parsed = cut(vectors.select("vec_id", "embedding").mapInArrow(_parse, "vec_id long, k1 long, k2 long, dim int, unit binary"), "vectors")
+    with Scratch(vectors.sparkSession) as tables:
+        return cut(_near_duplicate_vectors(vectors.select("vec_id", "embedding"), threshold, tables), "near-vectors")
+
+
+def _near_duplicate_vectors(vectors: DataFrame, threshold: float, tables: Scratch) -> DataFrame:
+    cut = tables.cut
+    parsed = cut(vectors.mapInArrow(_parse, "vec_id long, k1 long, k2 long, dim int, unit binary"), "vectors")
     good = parsed.where("vec_id is not null and dim is not null")
     classes = cut(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = good.join(classes.withColumnRenamed("rep", "vec_id"), ["vec_id", "k1", "k2"]).dropDuplicates(["vec_id", "k1", "k2"])
@@ -184,21 +224,27 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataF
         sample = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vec_id", "unit").collect()
         x = _vectors([r["unit"] for r in sorted(sample, key=lambda r: (r["vec_id"], bytes(r["unit"])))], dim)
         indexes[dim] = fit(x, total, threshold)
-    placed = cut(reps.mapInArrow(_cells(indexes), "vec_id long, n long, dim int, unit binary, c1 int, c2 int, rows array<int>, left array<double>"), "cells")
-    # one row for each row of a grid: a few hundred
-    own = placed.groupBy("dim", "c1").agg(F.count("*").alias("m"))
-    visits = placed.select("dim", F.explode("rows").alias("c1")).groupBy("dim", "c1").agg(F.count("*").alias("q"))
-    blocks = F.broadcast(own.join(visits, ["dim", "c1"]).select("dim", "c1", F.ceil(F.col("m") / MEMBERS).cast("int").alias("ms"), F.ceil(F.col("q") / QUERIES).cast("int").alias("qs")))
+    placed = cut(reps.mapInArrow(_cells(indexes), "vec_id long, n long, dim int, unit binary, c1 int, c2 int, rows array<int>"), "cells")
+    # a number for each row of a grid, 2,500 at most for each length of vectors
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in sorted(placed.groupBy("dim", "c1").agg(F.count("*").alias("m")).collect()):
+        counts.setdefault(r["dim"], []).append((r["c1"], r["m"]))
+    bands = [(dim, row, band) for dim, rows in counts.items() for row, band in _bands(rows).items()]
+    bands = F.broadcast(vectors.sparkSession.createDataFrame(bands, "dim int, row int, band int"))
+    of_dim = F.broadcast(bands.groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct("row", "band"))).alias("band_of")))
+    visits = placed.join(of_dim, "dim").withColumn("band", F.explode(F.array_distinct(F.filter(F.transform("rows", lambda r: F.col("band_of")[r]), lambda x: x.isNotNull())))).drop("band_of", "rows")
+    own = placed.join(bands.withColumnRenamed("row", "c1"), ["dim", "c1"]).drop("rows")
+    sizes = own.groupBy("dim", "band").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("ms")).join(visits.groupBy("dim", "band").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs")), ["dim", "band"])
+    blocks = F.broadcast(cut(sizes, "blocks"))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = placed.select("vec_id", "n", "dim", "unit", "c1", "c2").join(blocks, ["dim", "c1"]).withColumn("mb", deal("ms")).withColumn("qb", every("qs"))
-    queries = placed.select("vec_id", "dim", "unit", F.explode(F.arrays_zip("rows", "left")).alias("v")).select("vec_id", "dim", "unit", F.col("v.rows").alias("c1"), F.col("v.left").alias("left"))
-    queries = queries.join(blocks, ["dim", "c1"]).withColumn("qb", deal("qs")).withColumn("mb", every("ms"))
-    key = ["dim", "c1", "mb", "qb"]
+    members = own.join(blocks, ["dim", "band"]).withColumn("mb", deal("ms")).withColumn("qb", every("qs"))
+    queries = visits.join(blocks, ["dim", "band"]).withColumn("qb", deal("qs")).withColumn("mb", every("ms"))
+    key = ["dim", "band", "mb", "qb"]
     members, queries = (x.toDF(*x.columns) for x in (members, queries))  # attributes of their own
     met = members.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(_meet(indexes), "vec_id long, links long, label long")
     met = cut(met, "links")
-    settled = components(met.where("vec_id <> label").select(F.col("vec_id").alias("a"), F.col("label").alias("b")).distinct())
+    settled = components(met.where("vec_id <> label").select(F.col("vec_id").alias("a"), F.col("label").alias("b")).distinct(), keep=tables)
     counts = met.groupBy("vec_id").agg(F.sum("links").alias("links"))
     of_class = classes.join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left").join(settled.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = cut(of_class.select(F.struct("k1", "k2").alias("key"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "of_class")
