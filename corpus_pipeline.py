@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.llm import decontam, minhash, mixing, token_output, toxicity
-from granary.llm.common import fresh_path, table
+from granary.llm.common import free_name, fresh_path, table
 from granary.llm.queries import tokenizer_path
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score 0.5 or more) go."""
+    """Documents that the classifier rejects (score 0.5 or more) go; null and empty texts and null ids are scored like any."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model).where("__score < 0.5").select(*docs.columns)
+    score = free_name(docs, "score")
+    return toxicity.with_score(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity of 0.8 or more) the least doc_id stays."""
+    """Of each group of near duplicates (five words, similarity of 0.8 or more) the least doc_id stays.
+
+    Texts without words are in no group, and a null doc_id stays.
+    """
     gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -27,7 +32,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights: a row for each copy that the mix takes, in training order."""
+    """Sources are brought to their target weights: a row for each copy that the mix takes, in training order.
+
+    Null texts and ids and repeated rows are documents as any; see mixing.mixture.
+    """
     return mixing.mixed_documents(docs)
 
 

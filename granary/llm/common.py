@@ -46,6 +46,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as tell it from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """The tables that one run of an operator writes on its way; they go when it ends, and only its result stays."""
 

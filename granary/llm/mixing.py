@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 from pyspark.sql.window import Window
 
-from .common import Scratch, cut, join_skewed
+from .common import Scratch, cut, free_name, join_skewed
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: No source, and so no document, is taken more often than this.
@@ -150,21 +150,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int
         return _by_position(cut(rows, "mixture"), "first_position", "doc_id")
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """name, with as many underscores as tell it from the columns of docs."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = MOST_REPEATS) -> DataFrame:
     """The documents that the mix takes, a row for each copy, with the columns of docs, in training order.
 
     The plan of mixture() is made without the texts and joined back by the rows' hashes, whatever docs' other columns
     are called; texts go through that join and the sort by position alone.
     """
-    r1, r2, place = (_free(docs, name) for name in ("r1", "r2", "place"))
+    r1, r2, place = (free_name(docs, name) for name in ("r1", "r2", "place"))
     with Scratch(docs.sparkSession) as tables:
         plan = _plan(docs, weights, repeats, tables)
         each = plan.where("copies > 0").withColumn("nth_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

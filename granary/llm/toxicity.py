@@ -350,12 +350,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> Model
 
     Besides the fixed lexicon there is one learned from these rows; a row's own features use what the other folds
     taught, so that the trees see it as they will see new texts. A document with several labels counts as toxic if any
-    says so; null labels and null ids are left out.
+    says so; rows that repeat a doc_id are learned from once, by the least of their texts; null labels and null ids are
+    left out.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(fold() != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # a bounded table, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = cut(rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), fold().cast("int").alias("fold")), "labelled")
     lexicons = _learned(rows)
     found = rows.mapInArrow(_feature_rows(lexicons), "doc_id long, toxic int, x array<double>").toPandas()
@@ -370,26 +371,29 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> Model
     return model
 
 
-def _scores(model: Model):
+def _scores(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Lookup()
         for batch in batches:
             x = features_of(plain_bytes(batch.column("text")), look, [model.lexicon] * len(batch))
             rest = [batch.column(c) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and a column __score from 0 to 1; null and empty texts are scored as texts without words."""
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs and a column of that name, from 0 to 1; null and empty texts are scored as texts without words."""
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(_scores(model), StructType([*docs.schema.fields]).add("__score", DoubleType()))
+    return docs.mapInArrow(_scores(model, name), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted. Only doc_id and text of docs are read."""
+    """One row per row of docs: doc_id, held_out, score, predicted. Only doc_id and text of docs are read.
+
+    A null doc_id is not held out, though nothing is learned from it either.
+    """
     model = train(docs, labels, train_rows)
     scored = with_score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (fold() == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
