@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-
 # Entropy bands, magics with their types, markers of packages, blocked extensions.
 BANDS = [(7.5, "very low"), (6.5, "low"), (4.5, "moderate"), (2.5, "high")]
 MAGICS = [
@@ -18,9 +17,22 @@ MAGICS = [
 ]
 PACKAGES = [("word/document.xml", ".docx"), ("xl/workbook.xml", ".xlsx"), ("ppt/presentation.xml", ".pptx"), ("opendocument.text", ".odt"), ("opendocument.spreadsheet", ".ods")]
 HTML_TAGS = ["<!doctype html", "<html", "<head", "<body", "<title", "<div", "<meta"]
-SQL_STATEMENT = r"(?is)\b(CREATE\s+TABLE|INSERT\s+INTO|SELECT\s+.+\s+FROM|ALTER\s+TABLE|DROP\s+TABLE|BEGIN\s+TRANSACTION)\b"
-BLOCKED = ["exe", "dll", "zip", "7z", "rar", "mp4", "mp3"]
-IMAGES = ["png", "jpg", "jpeg", "gif", "bmp"]
+SQL_STATEMENT = r"(?id)(?<![A-Za-z0-9_])(CREATE\s+TABLE|INSERT\s+INTO|SELECT\s+.+\s+FROM|ALTER\s+TABLE|DROP\s+TABLE|BEGIN\s+TRANSACTION)(?![A-Za-z0-9_])"
+# Extensions that new files may and may not have, and what is said of the others.
+ALLOWED = ".pdf .txt .csv .tsv .json .sql .xml .html .htm .log .py .js .c .cpp .h .hpp".split()
+BLOCKED = ".docx .docm .dotx .dotm".split()
+SAY_BLOCKED = "Microsoft Word OOXML files (.docx, .docm, .dotx, and .dotm) are outside the declared scope of this study and cannot be compressed. Please use an in-scope file such as PDF, TXT, CSV, JSON, SQL, XML, HTML, LOG, or source code."
+SAY_OUTSIDE = "This file type is outside the declared scope of this study. Only PDF, text, data, and supported source-code files may be compressed."
+SAY_IMAGE = "Standalone image files are outside the declared scope of this study and cannot be compressed. Images embedded inside an in-scope PDF remain supported."
+SAY_WORD = "This file contains a Microsoft Word OOXML document. DOCX-family files are outside the declared scope of this study and cannot be compressed."
+# The sentences that explain a result.
+SAY_RAW = "This file was stored raw \u2014 coding it would have made it larger, so the fallback kept it byte-for-byte."
+SAY_ROUTED = "Container-aware: already-compressed components were preserved as-is and only the compressible parts were coded. "
+SAY_RANDOM = "This file barely compressed (%.1f%%): its byte distribution is close to random, so few patterns paid for themselves."
+SAY_BYTES = "Saved %.1f%% using single-byte Huffman codes only \u2014 the Bit Cost Decision Engine rejected every multi-byte pattern as not worth its dictionary cost."
+SAY_BLOCKS = "Saved %.1f%%: %s%% of the savings came from %d structural blocks (averaging %.1f bytes each), the rest from single-byte Huffman codes."
+# White space of Unicode.
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def entropy(histogram: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -38,7 +50,7 @@ def entropy(histogram: DataFrame, sizes: DataFrame) -> DataFrame:
 def byte_label(byte: str) -> Column:
     """SP, TAB, LF, CR, the character if it prints, else its hex."""
     b = F.col(byte)
-    return F.when(b == 32, "SP").when(b == 9, "TAB").when(b == 10, "LF").when(b == 13, "CR").when((b > 32) & (b < 127), F.chr(b)).otherwise(F.concat(F.lit("0x"), F.lpad(F.hex(b), 2, "0")))
+    return F.when(b == 32, "SP").when(b == 9, "TAB").when(b == 10, "LF").when(b == 13, "CR").when((b > 32) & (b < 127), F.chr(b)).otherwise(F.lpad(F.hex(b), 2, "0"))
 
 
 def top_bytes(histogram: DataFrame, most: int = 24) -> DataFrame:
@@ -54,38 +66,55 @@ def is_textual(head: Column, share: float) -> Column:
     return (size > 0) & ~F.contains(head, F.lit("\0")) & (printable >= size * share)
 
 
-def text_type(text: str = "text") -> Column:
-    """The kind of a textual payload, the most specific first."""
-    t = F.col(text)
-    stripped = F.regexp_replace(t, r"^[ \t\n\r\x0b\f]+", "")
-    low = F.lower(F.substring(stripped, 1, 512))
-    first = F.substring(stripped, 1, 1)
-    lines = F.filter(F.slice(F.split(t, "\n"), 1, 20), lambda x: F.trim(x) != "")
-    constant = lambda sign: (F.size(lines) >= 2) & (F.size(F.array_distinct(F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign)))))) == 1) & F.contains(lines[0], F.lit(sign))
-    has = lambda *words: [F.contains(t, F.lit(x)).cast("int") for x in words]
-    html = F.lit(False)
-    for tag in HTML_TAGS:
-        html = html | F.contains(low, F.lit(tag))
-    json = first.isin("{", "[") & (F.expr(f"try_parse_json({text})").isNotNull() | F.contains(F.substring(stripped, 1, 4096), F.lit('":')))
-    python = sum(has("def ", "import ", "class ")[1:], has("def ", "import ", "class ")[0]) >= 2
+def text_type(sample: Column) -> Column:
+    """The kind of a textual payload, the most specific first; sample: its first bytes as a string of one letter each."""
+    stripped = F.regexp_replace(sample, r"^[ \t\n\r\x0b\f]+", "")
+    first, low, early = F.substring(stripped, 1, 1), F.lower(F.substring(stripped, 1, 512)), F.substring(sample, 1, 8192)
+    has = lambda text, *words: [F.contains(text, F.lit(x)) for x in words]
+    any_of = lambda found: F.exists(F.array(*found), lambda x: x)
+    lines = F.filter(F.slice(F.split(sample, "\n"), 1, 20), lambda x: x.rlike(r"[^ \t\n\r\x0b\f]"))
+    counts = lambda sign: F.array_distinct(F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign)))))
+    constant = lambda sign: (F.size(lines) >= 2) & (F.size(counts(sign)) == 1) & (counts(sign)[0] > 0)
+    utf8 = F.encode(sample, "ISO-8859-1").cast("string")
+    parsed = F.is_valid_utf8(utf8) & F.try_parse_json(F.make_valid_utf8(utf8)).isNotNull()
+    json = first.isin("{", "[") & (parsed | F.contains(F.substring(stripped, 1, 4096), F.lit('":')))
+    python = F.size(F.filter(F.array(*has(early, "def ", "import ", "class ")), lambda x: x)) >= 2
+    c = F.contains(F.substring(sample, 1, 4096), F.lit("#include")) | F.contains(early, F.lit("int main("))
+    script = (F.contains(early, F.lit("function ")) & F.contains(early, F.lit("var "))) | (F.contains(F.substring(sample, 1, 2048), F.lit("=>")) & F.contains(F.substring(sample, 1, 4096), F.lit("const ")))
     return (
-        F.when(json, ".json").when(F.startswith(low, F.lit("<?xml")), ".xml").when((first == "<") & html, ".html").when(t.rlike(SQL_STATEMENT), ".sql")
-        .when(constant(","), ".csv").when(constant("\t"), ".tsv").when(python, ".py").when(F.contains(t, F.lit("#include")) | F.contains(t, F.lit("int main(")), ".c")
-        .when((F.contains(t, F.lit("function ")) & F.contains(t, F.lit("var "))) | (F.contains(t, F.lit("=>")) & F.contains(t, F.lit("const "))), ".js").otherwise(".txt")
+        F.when(json, ".json").when(F.startswith(low, F.lit("<?xml")), ".xml").when((first == "<") & any_of(has(low, *HTML_TAGS)), ".html").when(early.rlike(SQL_STATEMENT), ".sql")
+        .when(constant(","), ".csv").when(constant("\t"), ".tsv").when(python, ".py").when(c, ".c").when(script, ".js").otherwise(".txt")
     )
 
 
-def sniffed(text: str = "text") -> Column:
-    """The extension of a payload given as a string: magics, packages, then kinds of text; empty where unknown."""
-    data = F.hex(F.encode(F.col(text), "UTF-8"))
-    out = F.when(F.col(text) == "", "")
+def _begins(data: Column, magics: list[bytes]) -> Column:
+    head = F.hex(F.substring(data, 1, max(map(len, magics))))
+    out = F.lit(False)
+    for magic in magics:
+        out = out | F.startswith(head, F.lit(magic.hex().upper()))
+    return out
+
+
+def is_zip(data: Column) -> Column:
+    return _begins(data, [b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"])
+
+
+def _textual_bytes(head: Column, share: float) -> Column:
+    """Whether bytes, a letter each, have no NUL and enough printable ASCII, tabs and line ends among them."""
+    return (F.length(head) > 0) & ~F.contains(head, F.lit("\0")) & (F.length(F.regexp_replace(head, r"[^\t\n\r\x20-\x7E]", "")) / F.length(head) >= share)
+
+
+def sniffed(data: str = "data") -> Column:
+    """The extension of a payload: magics, packages, then kinds of text, of which the first 64 KiB count; empty where unknown."""
+    d = F.col(data)
+    out = F.when(F.octet_length(d) == 0, "")
     for magic, ext, _ in MAGICS:
-        out = out.when(F.startswith(data, F.lit(magic.hex().upper())), ext)
-    zipped = data.rlike("^504B(0304|0506|0708)")
+        out = out.when(_begins(d, [magic]), ext)
+    sample = F.decode(F.substring(d, 1, 65536), "ISO-8859-1")
     for marker, ext in PACKAGES:
-        out = out.when(zipped & F.contains(F.substring(F.col(text), 1, 65536), F.lit(marker)), ext)
-    out = out.when(zipped, ".zip").when((F.octet_length(F.col(text)) >= 12) & (F.substring(data, 9, 8) == "66747970"), ".mp4")
-    return out.when(is_textual(F.substring(F.col(text), 1, 4096), 0.90), text_type(text)).otherwise("")
+        out = out.when(is_zip(d) & F.contains(sample, F.lit(marker)), ext)
+    out = out.when(is_zip(d), ".zip").when((F.octet_length(d) >= 12) & (F.substring(d, 5, 4) == F.lit(b"ftyp")), ".mp4")
+    return out.when(_textual_bytes(F.substring(sample, 1, 4096), 0.90), text_type(sample)).otherwise("")
 
 
 def restored_name(name: str, ext: str) -> Column:
@@ -97,20 +126,33 @@ def restored_name(name: str, ext: str) -> Column:
 
 
 def hex_preview(rows: DataFrame, data: str = "data", most: int = 512, width: int = 16) -> DataFrame:
-    """rows with line and hex: so many bytes of data as a dump."""
-    h = F.hex(F.substring(F.col(data), 1, most))
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length(data) - 1) / width).cast("int")))
-    lines = rows.where(F.octet_length(data) > 0).withColumn("line", at).where(F.col("line") < most // width)
-    text = F.substring(h, F.col("line") * (2 * width) + 1, F.lit(2 * width))
-    return lines.withColumn("hex", F.trim(F.regexp_replace(text, "(..)", "$1 ")))
-
-
-def scope_error(name: str = "filename") -> Column:
-    """Why a file isn't taken, by its extension; null for one that is."""
-    from .runlog import extension
-
-    e = extension(name)
-    return F.when(e == "(none)", "no extension").when(e.isin(*IMAGES), "image").when(e.isin(*BLOCKED), "blocked")
+    """rows, without data, with line, at (the line's offset), hex and ascii: the first so many bytes as a dump."""
+    head = F.substring(F.col(data), 1, most)
+    kept = [c for c in rows.columns if c != data]
+    lines = rows.select(*kept, head.alias("__head")).where(F.octet_length("__head") > 0)
+    lines = lines.withColumn("line", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("__head") - 1) / width).cast("int"))))
+    own = F.substring(F.col("__head"), F.col("line") * width + 1, F.lit(width))
+    shown = F.regexp_replace(F.decode(own, "ISO-8859-1"), r"[^\x20-\x7E]", ".")
+    pairs = F.trim(F.regexp_replace(F.lower(F.hex(own)), "(..)", "$1 "))
+    return lines.withColumn("at", F.lpad(F.lower(F.hex(F.col("line") * width)), 8, "0")).withColumn("hex", pairs).withColumn("ascii", shown).drop("__head")
+
+
+def preview_kind(data: str = "data") -> Column:
+    """text or hex: how a file is shown; null for an empty one. Its first 4 KiB count."""
+    head = F.decode(F.substring(F.col(data), 1, 4096), "ISO-8859-1")
+    return F.when(F.octet_length(data) > 0, F.when(_textual_bytes(head, 0.85), "text").otherwise("hex"))
+
+
+def scope_error(name: str = "filename", data: str | None = None) -> Column:
+    """Why a file isn't taken: by the end of its name, or by what it holds; null for one that is."""
+    low = F.lower(F.substring_index(F.replace(F.col(name), F.lit("\\"), F.lit("/")), "/", -1))
+    ends = lambda known: F.exists(F.array(*map(F.lit, known)), lambda e: F.endswith(low, e))
+    out = F.when(ends(BLOCKED), SAY_BLOCKED).when(low.isNull() | ~ends(ALLOWED), SAY_OUTSIDE)
+    if data is not None:
+        d = F.col(data)
+        out = out.when(_begins(d, [m for m, _, family in MAGICS if family == "image"]), SAY_IMAGE)
+        out = out.when(is_zip(d) & F.contains(d, F.lit(b"word/document.xml")), SAY_WORD)
+    return out
 
 
 def size_errors(rows: DataFrame, batch: str, order: str, size: str, least: int, most: int, total: int) -> DataFrame:
@@ -121,17 +163,25 @@ def size_errors(rows: DataFrame, batch: str, order: str, size: str, least: int,
 
 
 def human(size: str) -> Column:
-    """Bytes in steps of 1024 with one decimal, at most GB. Tenths are cut off."""
+    """Bytes in steps of 1024 with one decimal, GB at most; tenths are rounded, halves to the even one."""
     s = F.col(size)
-    step = lambda unit, name: F.concat(F.floor(s / unit).cast("string"), F.lit("."), (F.floor(s * 10 / unit) % 10).cast("string"), F.lit(f" {name}"))
+
+    def step(unit: int, name: str) -> Column:
+        tenths, rest = F.floor(s * 10 / unit), F.pmod(s * 10, F.lit(unit))
+        tenths = tenths + F.when((2 * rest > unit) | ((2 * rest == unit) & (tenths % 2 == 1)), 1).otherwise(0)
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {name}"))
+
     return F.when(s < 1 << 10, F.concat(s.cast("string"), F.lit(" B"))).when(s < 1 << 20, step(1 << 10, "KB")).when(s < 1 << 30, step(1 << 20, "MB")).otherwise(step(1 << 30, "GB"))
 
 
 def uptime(seconds: str) -> Column:
-    """Days, hours and minutes, as far as they are needed."""
-    s = F.col(seconds)
-    part = lambda n, m, unit: F.concat((F.floor(s / n) % m).cast("string"), F.lit(unit))
-    return F.when(s >= 86400, F.concat_ws(" ", F.concat(F.floor(s / 86400).cast("string"), F.lit("d")), part(3600, 24, "h"), part(60, 60, "m"))).when(s >= 3600, F.concat_ws(" ", part(3600, 24, "h"), part(60, 60, "m"))).otherwise(part(60, 60, "m"))
+    """The two or three largest units that are needed: days, hours and minutes; hours and minutes; minutes and seconds."""
+    s = F.floor(F.col(seconds))
+    d, h, m = F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60
+    return (
+        F.when(d > 0, F.format_string("%dd %dh %dm", d, h, m)).when(h > 0, F.format_string("%dh %dm", h, m))
+        .when(m > 0, F.format_string("%dm %ds", m, s % 60)).otherwise(F.format_string("%ds", s % 60))
+    )
 
 
 def merged_segments(segments: DataFrame) -> DataFrame:
@@ -162,8 +212,8 @@ def payload_class(data: str = "text") -> Column:
 
 
 def member_path(path: str) -> Column:
-    """A relative path with plain slashes; null for what could leave the folder."""
-    text = F.replace(F.col(path), F.lit("\\"), F.lit("/"))
+    """A relative path with plain slashes, without white space around it; null for what could leave the folder."""
+    text = F.regexp_replace(F.replace(F.col(path), F.lit("\\"), F.lit("/")), f"^[{SPACES}]+|[{SPACES}]+$", "")
     parts = F.filter(F.split(text, "/"), lambda x: ~x.isin("", "."))
     bad = F.startswith(text, F.lit("/")) | (F.substring(text, 2, 1) == ":") | F.array_contains(parts, "..") | (F.size(parts) == 0)
     return F.when(~bad, F.array_join(parts, "/"))
@@ -191,15 +241,18 @@ def manifest_status(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def chunks(blobs: DataFrame, size: int) -> DataFrame:
-    """blobs (key, data) in numbered parts of so many bytes, each with its digest."""
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("data") / size) - 1, F.lit(0)).cast("int")))
-    rows = blobs.withColumn("part", at).withColumn("chunk", F.substring(F.col("data"), F.col("part") * size + 1, F.lit(size)))
+    """blobs (key, data) in numbered parts of so many bytes, each with its digest; an empty blob has one empty part."""
+    n = F.greatest(F.ceil(F.octet_length("data") / size), F.lit(1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("data"), i * size + 1, F.lit(size)))
+    rows = blobs.select("key", parts.alias("parts")).select("key", F.posexplode("parts").alias("part", "chunk"))
     return rows.select("key", "part", "chunk", F.sha2("chunk", 256).alias("sha256"))
 
 
 def reassembled(parts: DataFrame) -> DataFrame:
+    """(key, data, ok) of parts (key, part, chunk, sha256); ok: the parts run from 0 on and each has its digest."""
     ordered = F.array_sort(F.collect_list(F.struct("part", "chunk")))
-    return parts.groupBy("key").agg(F.aggregate(ordered, F.lit(b""), lambda x, p: F.concat(x, p["chunk"])).alias("data"))
+    whole = (F.max("part") == F.count("*") - 1) & (F.count_distinct("part") == F.count("*")) & F.every(F.sha2("chunk", 256) == F.col("sha256"))
+    return parts.groupBy("key").agg(F.aggregate(ordered, F.lit(b""), lambda x, p: F.concat(x, p["chunk"])).alias("data"), whole.alias("ok"))
 
 
 def length_histogram(codes: DataFrame) -> DataFrame:
@@ -208,10 +261,31 @@ def length_histogram(codes: DataFrame) -> DataFrame:
 
 
 def attribution(symbols: DataFrame) -> DataFrame:
-    """symbols (file_id, sid, bits, produced): what each class costs, gives and saves; saved = 8 * bytes - bits."""
-    kind = F.when(F.col("sid") < 256, "literal").otherwise("pattern")
-    per = symbols.groupBy("file_id", kind.alias("class")).agg(F.count("*").alias("symbols"), F.sum("bits").alias("bits"), F.sum("produced").alias("bytes"))
-    total = symbols.groupBy("file_id").agg(F.greatest(F.sum("produced"), F.lit(1)).alias("all_bytes"))
-    return per.join(total, "file_id").select("file_id", "class", "symbols", "bits", "bytes", (8 * F.col("bytes") - F.col("bits")).alias("saved_bits"), (100 * F.col("bytes") / F.col("all_bytes")).alias("share_pct"))
-
-
+    """symbols (file_id, sid, bits, produced): what each class costs, gives and saves, a row for either class.
+
+    saved_bits = 8 * bytes - bits; share_pct is a class's share of all saved bits, or of one bit where none is saved.
+    """
+    pattern = F.col("sid") >= 256
+    sums = [F.count_if(c).alias(f"n_{k}") for k, c in (("literal", ~pattern), ("pattern", pattern))]
+    sums += [F.sum(F.when(c, F.col(x)).otherwise(0)).alias(f"{x}_{k}") for k, c in (("literal", ~pattern), ("pattern", pattern)) for x in ("bits", "produced")]
+    per = symbols.groupBy("file_id").agg(*sums)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("class"), F.col(f"n_{k}").alias("symbols"), F.col(f"bits_{k}").alias("bits"), F.col(f"produced_{k}").alias("bytes")) for k in ("literal", "pattern"))))
+    total = F.col("produced_literal") * 8 - F.col("bits_literal") + F.col("produced_pattern") * 8 - F.col("bits_pattern")
+    rows = per.select("file_id", total.alias("total"), each.alias("c")).select("file_id", "total", "c.*")
+    saved = 8 * F.col("bytes") - F.col("bits")
+    return rows.select("file_id", "class", "symbols", "bits", "bytes", saved.alias("saved_bits"), F.round(100.0 * saved / F.when(F.col("total") > 0, F.col("total")).otherwise(1), 1).alias("share_pct"))
+
+
+def explanation(original: Column, stored: Column, raw: Column, routed: Column, saved_bits: Column, blocks: Column, share: Column, entries: Column, block_bytes: Column) -> Column:
+    """One sentence about a result: stored raw, close to random, single bytes only, or what the blocks gave.
+
+    blocks: block symbols that were used; share: their share of the saved bits in percent; entries: of the dictionary.
+    """
+    tenths = lambda x: F.bround(x, 1)  # noqa: E731  halves to the even one, as the sentences have always had them
+    pct = tenths(F.when(original > 0, 100.0 * (1 - stored / original)).otherwise(0.0))
+    prefix = F.when(routed, SAY_ROUTED).otherwise("")
+    said = (
+        F.when(saved_bits <= 0, F.format_string(SAY_RANDOM, pct)).when(blocks == 0, F.format_string(SAY_BYTES, pct))
+        .otherwise(F.format_string(SAY_BLOCKS, pct, F.bround(share, 0).cast("long").cast("string"), entries, tenths(block_bytes)))
+    )
+    return F.when(raw, SAY_RAW).otherwise(F.concat(prefix, said))

@@ -34,18 +34,23 @@ def _saved() -> list[Column]:
     ]
 
 
+def _quality() -> list[Column]:
+    return [F.count_if("lossless_verified").alias("verified"), F.coalesce(F.round(F.avg("ratio"), 6), F.lit(0.0)).alias("avg_ratio")]
+
+
 def history_stats(runs: DataFrame) -> DataFrame:
     """Totals over compress runs that are no archive children."""
-    return runs.where(TOP_LEVEL).agg(F.count("*").alias("files"), *_saved(), F.count_if("lossless_verified").alias("verified"), F.round(F.avg("ratio"), 6).alias("avg_ratio"))
+    return runs.where(TOP_LEVEL).agg(F.count("*").alias("files"), *_saved(), *_quality())
 
 
 def system_stats(runs: DataFrame, by_user: bool = False) -> DataFrame:
-    """As history_stats, but with archive children, and with times, entropy and reference totals."""
+    """As history_stats, but with archive children, and with times, entropy and reference totals; zeros where there are no runs."""
     rows = runs.where("operation = 'compress'")
     group = rows.groupBy("user_id") if by_user else rows.groupBy()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    entropy = F.coalesce(F.sum("entropy_centibits") / F.count("entropy_centibits") / 100, F.lit(0.0))
     return group.agg(
-        F.count("*").alias("files"), *_saved(), F.sum("duration_ms").alias("total_ms"), (F.sum("entropy_centibits") / F.count("*") / 100).alias("avg_entropy"),
-        F.sum("gzip_bytes").alias("gzip_bytes"), F.sum("huffman_bytes").alias("huffman_bytes"),
+        F.count("*").alias("files"), *_saved(), *_quality(), total("duration_ms").alias("total_ms"), entropy.alias("avg_entropy"), total("gzip_bytes").alias("gzip_bytes"), total("huffman_bytes").alias("huffman_bytes"),
     )
 
 
@@ -57,7 +62,9 @@ def extension(name: str = "filename") -> Column:
 
 def by_extension(runs: DataFrame, top: int = 12) -> DataFrame:
     rows = runs.where("operation = 'compress'").groupBy(extension().alias("ext"))
-    return rows.agg(F.count("*").alias("files"), F.sum("original_bytes").alias("original_bytes"), F.sum("compressed_bytes").alias("compressed_bytes")).orderBy(F.desc("files"), "ext").limit(top)
+    o, c = (F.coalesce(F.sum(x), F.lit(0)) for x in ("original_bytes", "compressed_bytes"))
+    rows = rows.agg(F.count("*").alias("files"), o.alias("original_bytes"), c.alias("compressed_bytes"), (o - c).alias("saved_bytes"), F.coalesce(F.round(F.avg("ratio"), 6), F.lit(0.0)).alias("avg_ratio"))
+    return rows.orderBy(F.desc("files"), "ext").limit(top)
 
 
 def time_series(runs: DataFrame, newest: int = 60) -> DataFrame:
@@ -98,8 +105,11 @@ class SearchSpec:
         return [f(x) for x, f in parts if x is not None]
 
 
-def search(runs: DataFrame, spec: SearchSpec) -> DataFrame:
-    """A page of the runs that spec finds, each with the number of all of them and of pages."""
+def search(runs: DataFrame, spec: SearchSpec, artifacts: DataFrame | None = None) -> DataFrame:
+    """A page of the runs that spec finds, each with the number of all of them and of pages, and with its stored result.
+
+    artifacts has a row for a run at most; available, artifact_bytes and storage_key tell of it.
+    """
     found = runs
     for condition in spec.filters():
         found = found.where(condition)
@@ -107,6 +117,9 @@ def search(runs: DataFrame, spec: SearchSpec) -> DataFrame:
     key = F.col(SORTS.get(spec.sort, "created_at"))
     rows = found.orderBy(key.desc() if spec.descending else key.asc(), F.desc("id")).offset((page - 1) * per_page).limit(per_page)
     total = found.agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / per_page)).cast("long"))
+    if artifacts is not None:
+        stored = artifacts.select(F.col("history_id").alias("id"), F.col("byte_size").alias("artifact_bytes"), "storage_key")
+        rows = rows.join(stored, "id", "left").withColumn("available", F.col("storage_key").isNotNull())
     return rows.crossJoin(F.broadcast(total))  # total is one row
 
 
@@ -221,9 +234,9 @@ def erased(audit: DataFrame, user_id: int, username: str) -> DataFrame:
     return out.select(*(F.col("__" + c).alias(c) if c in ("username", "ip_address", "detail") else c for c in audit.columns))
 
 
-def trailing_failures(attempts: DataFrame, seconds: int = 300, limit: int = 5, key: str = "user_id") -> DataFrame:
-    """Each failed attempt with how many its key had within so many seconds up to it, itself included."""
-    n = F.expr(f"count(*) over (partition by {key} order by ts range between interval {seconds} seconds preceding and current row)")
+def trailing_failures(attempts: DataFrame, seconds: int = 300, limit: int = 5, key: tuple[str, ...] = ("user_id", "ip_address")) -> DataFrame:
+    """Each failed attempt with how many its user had from its address within so many seconds up to it, itself included."""
+    n = F.expr(f"count(*) over (partition by {', '.join(key)} order by ts range between interval {seconds} seconds preceding and current row)")
     return attempts.withColumn("failures", n).withColumn("limited", n >= limit)
 
 

@@ -24,7 +24,7 @@ def e01(s, d):
     return I.entropy(M.byte_histogram(c), c.select("file_id", "n_bytes"))
 
 
-_LABEL = "case byte when 32 then 'SP' when 9 then 'TAB' when 10 then 'LF' when 13 then 'CR' else case when byte > 32 and byte < 127 then chr(byte) else '0x' || lpad(hex(byte), 2, '0') end end"
+_LABEL = "case byte when 32 then 'SP' when 9 then 'TAB' when 10 then 'LF' when 13 then 'CR' else case when byte > 32 and byte < 127 then chr(byte) else upper(lpad(to_hex(byte), 2, '0')) end end"
 
 
 @query("e02_top_bytes", f"with {HIST}, r as (select *, row_number() over (partition by file_id order by freq desc, byte) place from hist) select *, {_LABEL} label from r where place <= 24")
@@ -50,23 +50,34 @@ def e09(s, d):
 _SYM = "sym as (select l_orderkey file_id, l_partkey % 300 sid, 1 + l_suppkey % 16 bits, case when l_partkey % 300 < 256 then 1 else 2 + l_suppkey % 9 end produced from lineitem)"
 
 
-@query("e10_attribution", f"with {_SYM} select file_id, case when sid < 256 then 'literal' else 'pattern' end class, count(*) symbols, sum(bits)::bigint bits, sum(produced)::bigint bytes, (8 * sum(produced) - sum(bits))::bigint saved_bits, 100 * sum(produced)::bigint / greatest(any_value(t), 1) share_pct from sym join (select file_id, sum(produced)::bigint t from sym group by 1) using (file_id) group by all")
+@query("e10_attribution", f"""with {_SYM}, t as (select file_id, sum(8 * produced - bits)::bigint total from sym group by 1), k(class, lo, hi) as (values ('literal', 0, 255), ('pattern', 256, 9999)),
+ c as (select file_id, class, count(sid) symbols, coalesce(sum(bits), 0)::bigint bits, coalesce(sum(produced), 0)::bigint bytes from (t cross join k) left join sym using (file_id) where sid is null or sid between lo and hi group by all),
+ a as (select t.file_id, k.class, coalesce(symbols, 0) symbols, coalesce(bits, 0) bits, coalesce(bytes, 0) bytes, total from t cross join k left join c on c.file_id = t.file_id and c.class = k.class)
+ select file_id, class, symbols, bits, bytes, 8 * bytes - bits saved_bits, round(100.0::double * (8 * bytes - bits) / case when total > 0 then total else 1 end, 1) share_pct from a""")
 def e10(s, d):
     return I.attribution(V.table(s, d, "lineitem").selectExpr("l_orderkey file_id", "l_partkey % 300 sid", "1 + l_suppkey % 16 bits", "case when l_partkey % 300 < 256 then 1 else 2 + l_suppkey % 9 end produced"))
 
 
-@query("e11_explain", f"with {H} select id, case when original_bytes = 0 then 'empty input' when compressed_bytes >= original_bytes then 'stored as is' when space_saved_pct >= 50 then 'saved ' || floor(space_saved_pct)::int || ' percent, mostly by patterns' else 'saved ' || floor(space_saved_pct)::int || ' percent' end sentence from history")
+_EXPLAINED = [
+    "id", "original_bytes", "compressed_bytes", "id % 11 = 0 as raw", "id % 5 = 0 as routed", "case when id % 7 = 0 then -id else 800 * id end saved_bits",
+    "case when id % 3 = 0 then 0 else 5 + id % 40 end blocks", "(id % 1000) / 10.0 as share", "id % 90 as entries", "2 + (id % 64) / 8.0 as block_bytes",
+]
+
+
+@query("e11_explain", f"""with {H}, x as (select {', '.join(_EXPLAINED)} from history), p as (select *, case when original_bytes > 0 then 100.0::double * (1 - compressed_bytes::double / original_bytes) else 0.0 end pct from x)
+ select id, case when raw then '{I.SAY_RAW}' else case when routed then '{I.SAY_ROUTED}' else '' end || case when saved_bits <= 0 then printf('{I.SAY_RANDOM}', pct) when blocks = 0 then printf('{I.SAY_BYTES}', pct)
+ else printf('{I.SAY_BLOCKS}', pct, printf('%.0f', share::double), entries::bigint, block_bytes::double) end end sentence from p""")
 def e11(s, d):
-    pct = F.floor("space_saved_pct").cast("string")
-    text = F.when(F.col("original_bytes") == 0, "empty input").when(F.col("compressed_bytes") >= F.col("original_bytes"), "stored as is").when(F.col("space_saved_pct") >= 50, F.concat(F.lit("saved "), pct, F.lit(" percent, mostly by patterns")))
-    return V.history(s, d).select("id", text.otherwise(F.concat(F.lit("saved "), pct, F.lit(" percent"))).alias("sentence"))
+    x = V.history(s, d).selectExpr(*_EXPLAINED)
+    c = F.col
+    return x.select("id", I.explanation(c("original_bytes"), c("compressed_bytes"), c("raw"), c("routed"), c("saved_bits"), c("blocks"), c("share").cast("double"), c("entries"), c("block_bytes").cast("double")).alias("sentence"))
 
 
 @query("e13_sniff")
 def e13(s, d):
     rows = V.table(s, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.coalesce("html", F.lit("")).alias("text"))
     rows = rows.unionByName(V.table(s, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
-    return rows.select("kind", "id", I.sniffed().alias("ext"))
+    return rows.withColumn("data", F.encode("text", "UTF-8")).select("kind", "id", I.sniffed().alias("ext"))
 
 
 @query("e15_is_textual", r"with t as (select doc_id, left(coalesce(text, ''), 4096) h from documents) select doc_id, octet_length(encode(h)) > 0 and not contains(h, chr(0)) and length(regexp_replace(h, '[^\t\n\r\x20-\x7E]', '', 'g')) >= octet_length(encode(h)) * 0.9::double textual from t")
@@ -84,9 +95,16 @@ def e16(s, d):
     return rows.select("id", I.restored_name("name", "ext").alias("name"))
 
 
-@query("e17_hex_preview", "with h as (select doc_id file_id, hex(encode(coalesce(text, ''))) h from documents), l as (select file_id, unnest(range(0, least(32, (length(h) // 2 + 15) // 16)))::int line, h from h) select file_id, line, trim(regexp_replace(substr(left(h, 1024), 32 * line + 1, 32), '(..)', '\\1 ', 'g')) hex from l")
+@query("e17_hex_preview", r"""with h as (select doc_id file_id, left(hex(encode(coalesce(text, ''))), 1024) h from documents), l as (select file_id, unnest(range(0, (length(h) // 2 + 15) // 16))::int line, h from h), m as (select file_id, line, substr(h, 32 * line + 1, 32) x from l)
+ select file_id, line, lpad(lower(to_hex(16 * line)), 8, '0') as at, trim(regexp_replace(lower(x), '(..)', '\1 ', 'g')) hex, list_aggregate(list_transform(range(length(x) // 2), lambda i: case when ('0x' || substr(x, 2 * i + 1, 2))::int between 32 and 126 then chr(('0x' || substr(x, 2 * i + 1, 2))::int) else '.' end), 'string_agg', '') ascii from m""")
 def e17(s, d):
-    return I.hex_preview(V.corpus(s, d)).select("file_id", "line", "hex")
+    return I.hex_preview(V.corpus(s, d).select("file_id", "data"))
+
+
+@query("e17_preview_kind", r"""with h as (select doc_id file_id, encode(coalesce(text, '')) b from documents), x as (select file_id, octet_length(b) n, least(octet_length(b), 4096) m, left(hex(b), 8192) x from h)
+ select file_id, case when n > 0 then case when len(list_filter(range(m), lambda i: substr(x, 2 * i + 1, 2) = '00')) = 0 and len(list_filter(range(m), lambda i: substr(x, 2 * i + 1, 2) in ('09', '0A', '0D') or substr(x, 2 * i + 1, 2) between '20' and '7E')) / m >= 0.85::double then 'text' else 'hex' end end kind from x""")
+def e17_kind(s, d):
+    return V.corpus(s, d).select("file_id", I.preview_kind().alias("kind"))
 
 
 @query("e17_text_preview", "select doc_id, array_to_string(string_split(left(coalesce(text, ''), 4096), chr(10))[:40], chr(10)) head from documents")
@@ -94,12 +112,15 @@ def e17_text(s, d):
     return V.table(s, d, "documents").select("doc_id", F.array_join(F.slice(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 4096), "\n"), 1, 40), "\n").alias("head"))
 
 
-_EXT = "case when instr(filename, '.') > 0 and not ends_with(filename, '.') then lower(list_last(string_split(filename, '.'))) else '(none)' end"
+_SCOPED = "select id, case id % 9 when 0 then replace(filename, '.', '.docx.') when 1 then 'a\\b/' || upper(filename) || '.DOCX' when 2 then filename || '.PDF' when 3 then filename || '.png' when 4 then filename || '.txt' when 5 then filename || '.txt' when 6 then filename || '/x.c' else filename end name, case id % 9 when 4 then '{png}' when 5 then '{word}' else '{text}' end head from history"
 
 
-@query("e18_scope", f"with {H}, x as (select id, {_EXT} e from history) select id, case when e = '(none)' then 'no extension' when e in ('png', 'jpg', 'jpeg', 'gif', 'bmp') then 'image' when e in ('exe', 'dll', 'zip', '7z', 'rar', 'mp4', 'mp3') then 'blocked' end error from x")
+@query("e18_scope", f"""with {H}, n as ({_SCOPED.format(png="89504E470D0A1A0A00", word=b"PK\x03\x04..word/document.xml".hex().upper(), text=b"plain".hex().upper())}), l as (select *, lower(list_last(string_split(replace(name, chr(92), '/'), '/'))) low from n)
+ select id, case when regexp_matches(low, '\\.(docx|docm|dotx|dotm)$') then '{I.SAY_BLOCKED}' when not regexp_matches(low, '\\.(pdf|txt|csv|tsv|json|sql|xml|html|htm|log|py|js|c|cpp|h|hpp)$') then '{I.SAY_OUTSIDE}' when starts_with(head, '89504E470D0A1A0A') then '{I.SAY_IMAGE}' when starts_with(head, '504B0304') and contains(head, '{b"word/document.xml".hex().upper()}') then '{I.SAY_WORD}' end error from l""")
 def e18(s, d):
-    return V.history(s, d).select("id", I.scope_error().alias("error"))
+    V.history(s, d).createOrReplaceTempView("scoped_history")
+    rows = s.sql(_SCOPED.format(png="89504E470D0A1A0A00", word=b"PK\x03\x04..word/document.xml".hex().upper(), text=b"plain".hex().upper()).replace("from history", "from scoped_history").replace("a\\b", "a\\\\b"))
+    return rows.withColumn("data", F.unhex("head")).select("id", I.scope_error("name", "data").alias("error"))
 
 
 @query("e19_size_policy", f"with {H} select id, case when original_bytes = 0 then 'empty' when original_bytes < 1000000 then 'too small' when original_bytes > 40000000 then 'too large' when sum(original_bytes) over (partition by batch_id order by id) > 60000000 then 'batch too large' end error from history")
@@ -107,15 +128,15 @@ def e19(s, d):
     return I.size_errors(V.history(s, d), "batch_id", "id", "original_bytes", 1_000_000, 40_000_000, 60_000_000).select("id", "error")
 
 
-@query("e20_human_bytes", f"with {H} select id, case when n < 1024 then n || ' B' when n < 1048576 then n // 1024 || '.' || (n * 10 // 1024) % 10 || ' KB' when n < 1073741824 then n // 1048576 || '.' || (n * 10 // 1048576) % 10 || ' MB' else n // 1073741824 || '.' || (n * 10 // 1073741824) % 10 || ' GB' end size from (select id, case when id % 3 = 0 then original_bytes when id % 3 = 1 then original_bytes % 2000 else original_bytes * 100 end n from history)")
+@query("e20_human_bytes", f"with {H} select id, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f KB', n / 1024::double) when n < 1073741824 then printf('%.1f MB', n / 1048576::double) else printf('%.1f GB', n / 1073741824::double) end size from (select id, case when id % 3 = 0 then original_bytes when id % 3 = 1 then original_bytes % 2000 else original_bytes * 100 end n from history)")
 def e20(s, d):
     rows = V.history(s, d).selectExpr("id", "case when id % 3 = 0 then original_bytes when id % 3 = 1 then original_bytes % 2000 else original_bytes * 100 end n")
     return rows.select("id", I.human("n").alias("size"))
 
 
-@query("e21_uptime", "select o_orderkey id, case when n >= 86400 then n // 86400 || 'd ' || (n // 3600) % 24 || 'h ' || (n // 60) % 60 || 'm' when n >= 3600 then (n // 3600) % 24 || 'h ' || (n // 60) % 60 || 'm' else (n // 60) % 60 || 'm' end up from (select o_orderkey, o_orderkey * 37 n from orders)")
+@query("e21_uptime", "select o_orderkey id, case when n >= 86400 then printf('%dd %dh %dm', n // 86400, n // 3600 % 24, n // 60 % 60) when n >= 3600 then printf('%dh %dm', n // 3600, n // 60 % 60) when n >= 60 then printf('%dm %ds', n // 60, n % 60) else printf('%ds', n) end up from (select o_orderkey, o_orderkey * 7 n from orders)")
 def e21(s, d):
-    return V.table(s, d, "orders").selectExpr("o_orderkey id", "o_orderkey * 37 n").select("id", I.uptime("n").alias("up"))
+    return V.table(s, d, "orders").selectExpr("o_orderkey id", "o_orderkey * 7 n").select("id", I.uptime("n").alias("up"))
 
 
 _SEG = "seg as (select l_orderkey file_id, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::int seq, (l_partkey % 3)::int kind, l_quantity::bigint n from lineitem), tile as (select file_id, seq, kind, (sum(n) over (partition by file_id order by seq) - n)::bigint as start, (sum(n) over (partition by file_id order by seq))::bigint as \"end\" from seg)"
@@ -147,12 +168,12 @@ def d11(s, d):
     return I.plan_summary(_segments(s, d))
 
 
-_PATHS = "p(path) as (values ('a/b.txt'), ('a\\b\\c.txt'), ('./x//y'), ('/etc/passwd'), ('C:/x'), ('a/../b'), (''), ('.'), ('..'), ('a/./b/'))"
+_PATHS = "p(path) as (values ('a/b.txt'), ('a\\b\\c.txt'), ('./x//y'), ('/etc/passwd'), ('C:/x'), ('a/../b'), (''), ('.'), ('..'), ('a/./b/'), (' /etc/passwd'), ('\tC:/x '), (' a/b '))"
 
 
-@query("t20_member_path", f"with {_PATHS}, q as (select path, replace(path, chr(92), '/') t from p), r as (select *, list_filter(string_split(t, '/'), lambda x: x not in ('', '.')) parts from q) select path, case when not (starts_with(t, '/') or substr(t, 2, 1) = ':' or list_contains(parts, '..') or len(parts) = 0) then array_to_string(parts, '/') end safe from r")
+@query("t20_member_path", f"with {_PATHS}, q as (select path, trim(replace(path, chr(92), '/'), ' ' || chr(9)) t from p), r as (select *, list_filter(string_split(t, '/'), lambda x: x not in ('', '.')) parts from q) select path, case when not (starts_with(t, '/') or substr(t, 2, 1) = ':' or list_contains(parts, '..') or len(parts) = 0) then array_to_string(parts, '/') end safe from r")
 def t20(s, d):
-    rows = [("a/b.txt",), ("a\\b\\c.txt",), ("./x//y",), ("/etc/passwd",), ("C:/x",), ("a/../b",), ("",), (".",), ("..",), ("a/./b/",)]
+    rows = [("a/b.txt",), ("a\\b\\c.txt",), ("./x//y",), ("/etc/passwd",), ("C:/x",), ("a/../b",), ("",), (".",), ("..",), ("a/./b/",), (" /etc/passwd",), ("\tC:/x ",), (" a/b ",)]
     return s.createDataFrame(rows, "path string").select("path", I.member_path("path").alias("safe"))
 
 
@@ -312,7 +333,7 @@ def d05(s, d):
     return S.zip_members(_zips(s, d)).select("file_id", "name", "uncompressed_size")
 
 
-@query("d03_pdf_segments")
+@query("d03_pdf_segments", "select doc_id file_id, 0::bigint faults, true ok from documents")
 def d03(s, d):
     """Every file's tiling is exact."""
     files = _pdfs(s, d)
@@ -325,7 +346,7 @@ def d23(s, d):
     return S.document_report(S.pdf_objects(files), S.segments(files))
 
 
-@query("e06_symbols_account_for_all_bytes")
+@query("e06_symbols_account_for_all_bytes", "select doc_id file_id, true ok from documents")
 def e06(s, d):
     """The symbols of every baseline container give back as many bytes as the file has, in bits within its length."""
     done = C.mapped(V.corpus(s, d).select("file_id", "data"), dictionary.compress_baseline, "container")

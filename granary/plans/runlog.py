@@ -34,12 +34,15 @@ def r02(s, d):
     return R.history_list(*_both(s, d), limit=50, offset=20).select("id", "filename", "available")
 
 
-@query("r03_history_stats", f"with {H} select count(*) files, {SAVED}, count(*) filter (lossless_verified) verified, round(avg(ratio), 6) avg_ratio from history where {TOP}")
+QUALITY = "count(*) filter (lossless_verified) verified, coalesce(round(avg(ratio), 6), 0.0) avg_ratio"
+
+
+@query("r03_history_stats", f"with {H} select count(*) files, {SAVED}, {QUALITY} from history where {TOP}")
 def r03(s, d):
     return R.history_stats(V.history(s, d))
 
 
-_R04 = f"count(*) files, {SAVED}, sum(duration_ms)::bigint total_ms, sum(entropy_centibits)::bigint / count(*) / 100 avg_entropy, sum(gzip_bytes)::bigint gzip_bytes, sum(huffman_bytes)::bigint huffman_bytes from history where operation = 'compress'"
+_R04 = f"count(*) files, {SAVED}, {QUALITY}, sum(duration_ms)::bigint total_ms, sum(entropy_centibits)::bigint / count(*) / 100 avg_entropy, sum(gzip_bytes)::bigint gzip_bytes, sum(huffman_bytes)::bigint huffman_bytes from history where operation = 'compress'"
 
 
 @query("r04_system_stats", f"with {H} select {_R04}")
@@ -55,7 +58,7 @@ def r04_user(s, d):
 _EXT = "case when instr(filename, '.') > 0 and not ends_with(filename, '.') then lower(list_last(string_split(filename, '.'))) else '(none)' end"
 
 
-@query("r05_by_extension", f"with {H} select {_EXT} ext, count(*) files, sum(original_bytes)::bigint original_bytes, sum(compressed_bytes)::bigint compressed_bytes from history where operation = 'compress' group by 1 order by files desc, ext limit 12")
+@query("r05_by_extension", f"with {H} select {_EXT} ext, count(*) files, sum(original_bytes)::bigint original_bytes, sum(compressed_bytes)::bigint compressed_bytes, sum(original_bytes - compressed_bytes)::bigint saved_bytes, round(avg(ratio), 6) avg_ratio from history where operation = 'compress' group by 1 order by files desc, ext limit 12")
 def r05(s, d):
     return R.by_extension(V.history(s, d))
 
@@ -68,10 +71,11 @@ def r06(s, d):
 _SPEC = R.SearchSpec(text="FILE_1", first_day="1993-01-01", last_day="1997-12-31", preset="fast", sort="saved", page=2, per_page=500)
 
 
-@query("r07_search", f"""with {H}, f as (select * from history where filename ilike '%FILE_1%' and created_at::date >= '1993-01-01' and created_at::date <= '1997-12-31' and preset = 'fast')
- select id, filename, space_saved_pct, (select count(*) from f) total, greatest(1, ceil((select count(*) from f) / 100))::bigint pages from f order by space_saved_pct desc, id desc limit 100 offset 100""")
+@query("r07_search", f"""with {H}, {A}, f as (select * from history where filename ilike '%FILE_1%' and created_at::date >= '1993-01-01' and created_at::date <= '1997-12-31' and preset = 'fast')
+ select f.id, filename, space_saved_pct, (select count(*) from f) total, greatest(1, ceil((select count(*) from f) / 100))::bigint pages, byte_size artifact_bytes, a.history_id is not null available from f left join artifacts a on a.history_id = f.id order by space_saved_pct desc, f.id desc limit 100 offset 100""")
 def r07(s, d):
-    return R.search(V.history(s, d), _SPEC).select("id", "filename", "space_saved_pct", "total", "pages")
+    runs, kept = _both(s, d)
+    return R.search(runs, _SPEC, kept).select("id", "filename", "space_saved_pct", "total", "pages", "artifact_bytes", "available")
 
 
 @query("r08_page_clamp", "select o_orderkey id, greatest(1, o_orderkey % 7 - 3)::bigint page, least(100, greatest(1, o_orderkey % 200 - 20))::bigint per_page from orders")
@@ -153,7 +157,10 @@ def r19(s, d):
     return R.reconcile(kept, kept.where("history_id % 23 <> 0")).select("storage_key", "integrity_status")
 
 
-@query("r20_quota_decisions")
+@query("r20_quota_decisions", f"""with recursive {H}, {A}, q as (select user_id, history_id id, byte_size, row_number() over (partition by user_id order by history_id) n from artifacts),
+ r as (select *, byte_size <= 20000000 accepted, case when byte_size <= 20000000 then byte_size else 0 end used from q where n = 1
+  union all select q.*, q.byte_size <= 20000000 - r.used, r.used + case when q.byte_size <= 20000000 - r.used then q.byte_size else 0 end from q join r on q.user_id = r.user_id and q.n = r.n + 1)
+ select user_id, id, byte_size, accepted, used::bigint used_bytes from r""")
 def r20(s, d):
     return R.quota_decisions(_both(s, d)[1].select("user_id", F.col("history_id").alias("id"), "byte_size"), limit=20_000_000)
 
@@ -193,9 +200,9 @@ def r24(s, d):
     return _audit(s, d).orderBy(F.desc("id")).limit(300).select("id", "event", "detail")
 
 
-@query("r25_trailing_failures", f"with {T} select event_id, user_id, count(*) over (partition by user_id order by ts range between interval 300 seconds preceding and current row) failures, count(*) over (partition by user_id order by ts range between interval 300 seconds preceding and current row) >= 5 limited from attempts")
+@query("r25_trailing_failures", f"with {T} select event_id, user_id, ip_address, count(*) over (partition by user_id, ip_address order by ts range between interval 300 seconds preceding and current row) failures, count(*) over (partition by user_id, ip_address order by ts range between interval 300 seconds preceding and current row) >= 5 limited from attempts")
 def r25(s, d):
-    return R.trailing_failures(V.attempts(s, d)).select("event_id", "user_id", "failures", "limited")
+    return R.trailing_failures(V.attempts(s, d)).select("event_id", "user_id", "ip_address", "failures", "limited")
 
 
 @query("r26_failures_since_success", "with e as (select *, max(case when event_type = 'signup' then event_id end) over (partition by user_id order by event_id) cleared from events where event_type in ('error', 'signup')) select user_id, coalesce(cleared, -1) cleared, count(*) failures from e where event_type = 'error' group by all")
@@ -271,7 +278,7 @@ def p12(s, d):
     return R.history_list(runs, kept, limit=10).crossJoin(F.broadcast(R.history_stats(runs).select("files"))).select("id", "filename", "files")  # one row
 
 
-@query("p15_login_decisions", f"with {T}, w as (select event_id, count(*) over (partition by user_id order by ts range between interval 3600 seconds preceding and current row) n from attempts) select case when n >= 2 then 'limited' else 'asked' end decision, count(*) attempts from w group by 1")
+@query("p15_login_decisions", f"with {T}, w as (select event_id, count(*) over (partition by user_id, ip_address order by ts range between interval 3600 seconds preceding and current row) n from attempts) select case when n >= 2 then 'limited' else 'asked' end decision, count(*) attempts from w group by 1")
 def p15(s, d):
     rows = R.trailing_failures(V.attempts(s, d), seconds=3600, limit=2)
     return rows.groupBy(F.when(F.col("limited"), "limited").otherwise("asked").alias("decision")).agg(F.count("*").alias("attempts"))

@@ -80,11 +80,11 @@ USERS_SQL = "users as (select c_custkey id, c_name username, lower(c_mktsegment)
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed logins: the error events."""
-    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", "ts")
+    """Failed logins: the error events, from one of two addresses."""
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", F.concat(F.lit("10.0.0."), (F.col("event_id") % 2).cast("string")).alias("ip_address"), "ts")
 
 
-ATTEMPTS_SQL = "attempts as (select event_id, user_id, ts from events where event_type = 'error')"
+ATTEMPTS_SQL = "attempts as (select event_id, user_id, '10.0.0.' || event_id % 2 ip_address, ts from events where event_type = 'error')"
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-DECISIONS = "event_id long, user_id long, ts timestamp, failures int, limited boolean"
+DECISIONS = "event_id long, user_id long, ip_address string, ts timestamp, failures int, limited boolean"
 
 
 def failure_windows(events: DataFrame, seconds: int = 300, limit: int = 5, lateness: str = "10 minutes") -> DataFrame:
-    """events (event_id, user_id, ts timestamp, kind) to one decision per failure; a success clears its user's failures.
+    """events (event_id, user_id, ip_address, ts timestamp, kind) to one decision per failure.
 
-    State: the failures of the last window of each user. It goes when event time has passed the window.
+    A user is known by name and address; a success clears their failures. State: the failures of the last window of
+    each user and address. It goes when event time has passed the window.
     """
 
     def decide(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,16 +36,16 @@ def failure_windows(events: DataFrame, seconds: int = 300, limit: int = 5, laten
             # rows at the same instant count each other, as in the batch window
             ahead = sum(1 for j in range(i + 1, len(stamps)) if stamps[j] == t and kinds[j] == "failure")
             n = sum(x <= t for x in held) + ahead
-            out.append((ids[i], key[0], times[i], n, n >= limit))
+            out.append((ids[i], *key, times[i], n, n >= limit))
         if held:
             state.update((held,))
             state.setTimeoutTimestamp(max(max(held) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "ts", "failures", "limited"])
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "ip_address", "ts", "failures", "limited"])
 
     marked = events.withWatermark("ts", lateness)
-    return marked.groupBy("user_id").applyInPandasWithState(decide, DECISIONS, "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("user_id", "ip_address").applyInPandasWithState(decide, DECISIONS, "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling_counts(events: DataFrame, seconds: int = 300, lateness: str = "10 minutes") -> DataFrame:

@@ -88,8 +88,8 @@ def test_streaming_limiter_equals_batch(spark, tmp_path):
 
     batch = runlog.trailing_failures(views.attempts(spark, SF), seconds=86400, limit=3)
     want = {(r.event_id, r.failures) for r in batch.collect()}
-    spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'error'").selectExpr("event_id", "user_id", "cast(ts as timestamp) ts", "'failure' kind").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("event_id long, user_id long, ts timestamp, kind string").parquet(str(tmp_path / "in"))
+    spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'error'").selectExpr("event_id", "user_id", "concat('10.0.0.', event_id % 2) ip_address", "cast(ts as timestamp) ts", "'failure' kind").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, user_id long, ip_address string, ts timestamp, kind string").parquet(str(tmp_path / "in"))
     q = failure_windows(stream, seconds=86400, limit=3).writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.event_id, r.failures) for r in spark.table("decisions").collect()} == want
@@ -128,3 +128,85 @@ def test_archive_source(spark, tmp_path):
     got = {(r.path, bytes(r.data)) for r in spark.read.format("granary-archive").option("path", f"file://{tmp_path}").load().collect()}
     assert got == {("x/y.txt", b"hello " * 20), ("z", b"")}
     assert folder(spark, str(tmp_path), least=1).count() == 1 and folder(spark, str(tmp_path), most=2).count() == 0
+
+
+def values(spark, column, rows, schema):
+    return [r[0] for r in spark.createDataFrame(rows, f"i int, {schema}").select("i", column.alias("x")).orderBy("i").select("x").collect()]
+
+
+def test_labels_sizes_and_times(spark):
+    """Literal values, so that no SQL can repeat an error of the operators."""
+    from granary.operators import inspection as I
+
+    assert values(spark, I.byte_label("b"), [(i, b) for i, b in enumerate((32, 9, 10, 13, 65, 0, 127, 255, 10))], "b int") == ["SP", "TAB", "LF", "CR", "A", "00", "7F", "FF", "LF"]
+    sizes = [0, 1023, 1024, 2000, 1280, 1331, 1 << 20, (1 << 20) + 52429, 5 << 30, 2 << 40]
+    assert values(spark, I.human("n"), [*enumerate(sizes)], "n long") == ["0 B", "1023 B", "1.0 KB", "2.0 KB", "1.2 KB", "1.3 KB", "1.0 MB", "1.1 MB", "5.0 GB", "2048.0 GB"]
+    assert values(spark, I.uptime("n"), [*enumerate((0, 59, 60, 61, 3600, 3661, 86400, 90061))], "n long") == ["0s", "59s", "1m 0s", "1m 1s", "1h 0m", "1h 1m", "1d 0h 0m", "1d 1h 1m"]
+    assert values(spark, I.member_path("p"), [*enumerate((" /etc/passwd", "a\\b", " a/b ", "\u00a0C:/x", "x/../y", "./", None))], "p string") == [None, "a/b", "a/b", None, None, None, None]
+
+
+def test_scope(spark):
+    from granary.operators import inspection as I
+
+    png, word = b"\x89PNG\r\n\x1a\n.", b"PK\x03\x04" + b"." * 70_000 + b"word/document.xml"
+    files = [("a.pdf", b"%PDF-1.4"), ("A.DOCX", b""), ("x/docx.txt", b"plain"), ("a.png", b""), ("a.txt", png), ("a.txt", word), ("noname", b"x"), (None, b"x"), ("b.docx\\c.TXT", b""), ("a.zip", b""), ("a.cpp", None)]
+    got = values(spark, I.scope_error("name", "data"), [(i, *f) for i, f in enumerate(files)], "name string, data binary")
+    assert got == [None, I.SAY_BLOCKED, None, I.SAY_OUTSIDE, I.SAY_IMAGE, I.SAY_WORD, I.SAY_OUTSIDE, I.SAY_OUTSIDE, None, I.SAY_OUTSIDE, None]
+
+
+def test_sniffed(spark):
+    from granary.operators import inspection as I
+
+    late = b"x " * 5000
+    cases = [
+        (b"", ""), (b"%PDF-1", ".pdf"), (b"PK\x03\x04xl/workbook.xml", ".xlsx"), (b"PK\x05\x06", ".zip"), (b"\0\0\0\x18ftypmp42", ".mp4"), (b"GIF89a", ".gif"), (b"\x00\x01", ""),
+        (b'{"a": [1, 2]}', ".json"), (b'{"a": 1, "b": [', ".json"), (b"[1, 2", ".txt"), (b"  <?xml version", ".xml"), (b"<HEAD>x", ".html"), (b"x <html", ".txt"),
+        (b"select a\nb\nfrom c", ".txt"), (b"select a\nfrom b", ".sql"), (b"select a from b", ".sql"), (b"preselect a from b", ".txt"), (late + b"insert into t", ".txt"), (b"a,b\n1,2\n\n3,4", ".csv"), (b"a,b\n1,2,3", ".txt"),
+        (b"a\tb\n1\t2", ".tsv"), (b"import x\ndef f", ".py"), (late + b"import x def f", ".txt"), (b"#include <a>", ".c"), (late + b"int main(", ".txt"), (b"const a = () => 1", ".js"), (b"function f() { var x }", ".js"), (b"plain", ".txt"), (b"ab" + bytes([200]) * 9, ""),
+    ]
+    assert values(spark, I.sniffed(), [(i, d) for i, (d, _) in enumerate(cases)], "data binary") == [e for _, e in cases]
+
+
+def test_explanations_and_attribution(spark):
+    from pyspark.sql import functions as F
+
+    from granary.operators import inspection as I
+
+    c = [F.col(x) for x in "o s raw routed saved blocks share entries avg".split()]
+    rows = [(0, 100, 90, True, False, 0, 0, 0.0, 0, 0.0), (1, 1000, 950, False, False, -5, 3, 0.0, 3, 2.0), (2, 1000, 500, False, True, 9, 0, 0.0, 0, 0.0), (3, 1000, 250, False, False, 9, 4, 62.5, 12, 3.25), (4, 0, 10, False, False, 0, 0, 0.0, 0, 0.0)]
+    got = values(spark, I.explanation(*c), rows, "o long, s long, raw boolean, routed boolean, saved long, blocks long, share double, entries long, avg double")
+    assert got[0].startswith("This file was stored raw") and got[1].startswith("This file barely compressed (5.0%): its byte") and got[4].startswith("This file barely compressed (0.0%)")
+    assert got[2].startswith("Container-aware: already-compressed components") and "Saved 50.0% using single-byte Huffman codes only" in got[2]
+    assert got[3].startswith("Saved 75.0%: 62% of the savings came from 12 structural blocks (averaging 3.2 bytes each)")
+    symbols = spark.createDataFrame([(1, 65, 4, 1), (1, 256, 10, 5), (2, 66, 9, 1)], "file_id long, sid int, bits long, produced long")
+    assert {(r.file_id, r["class"]): (r.symbols, r.bits, r.bytes, r.saved_bits, r.share_pct) for r in I.attribution(symbols).collect()} == {
+        (1, "literal"): (1, 4, 1, 4, 11.8), (1, "pattern"): (1, 10, 5, 30, 88.2), (2, "literal"): (1, 9, 1, -1, -100.0), (2, "pattern"): (0, 0, 0, 0, 0.0)}
+
+
+def test_totals_of_no_runs_are_zero(spark):
+    runs = spark.createDataFrame([], "id long, user_id long, operation string, parent_history_id long, original_bytes long, compressed_bytes long, lossless_verified boolean, ratio double, duration_ms long, entropy_centibits long, gzip_bytes long, huffman_bytes long")
+    assert [*runlog.history_stats(runs).first()] == [0] * 8 and [*runlog.system_stats(runs).first()] == [0] * 12
+
+
+def test_archives_refuse_what_is_lossy():
+    from granary.functions import container, dictionary
+
+    with pytest.raises(ValueError, match="isn't restored"):
+        container.pack_archive([("a", b"abc")], lambda _: dictionary.compress_baseline(b"abd"))
+    blob = container.pack_archive([("a", b"abc"), ("a", b"")], dictionary.compress_baseline)
+    assert b'"entries":' in blob and [m["path"] for m in container.archive_members(blob)] == ["a", "a"]
+
+
+def test_previews_and_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from granary.operators import inspection as I
+
+    rows = spark.createDataFrame([(1, bytes(range(40))), (2, b""), (3, b"x" * 9999), (4, "\u00e9" .encode() * 600)], "key long, data binary")
+    assert {r.key: r.kind for r in rows.select("key", I.preview_kind().alias("kind")).collect()} == {1: "hex", 2: None, 3: "text", 4: "hex"}
+    lines = {(r.key, r.line): (r.at, r.hex, r.ascii) for r in I.hex_preview(rows).collect()}
+    assert lines[1, 2] == ("00000020", "20 21 22 23 24 25 26 27", " !\"#$%&'") and max(k[1] for k in lines if k[0] == 3) == 31 and not any(k[0] == 2 for k in lines)
+    parts = I.chunks(rows, 16)
+    assert {r.key: (bytes(r.data), r.ok) for r in I.reassembled(parts).collect()} == {r.key: (bytes(r.data), True) for r in rows.collect()}
+    torn = parts.where("not (key = 1 and part = 1)").withColumn("chunk", F.when(F.col("key") == 3, F.lit(b"y")).otherwise(F.col("chunk")))
+    assert {r.key: r.ok for r in I.reassembled(torn).collect()} == {1: False, 2: True, 3: False, 4: True}
