@@ -102,7 +102,7 @@ def e17(s, d):
 
 
 @query("e17_preview_kind", r"""with h as (select doc_id file_id, encode(coalesce(text, '')) b from documents), x as (select file_id, octet_length(b) n, least(octet_length(b), 4096) m, left(hex(b), 8192) x from h)
- select file_id, case when n > 0 then case when len(list_filter(range(m), lambda i: substr(x, 2 * i + 1, 2) = '00')) = 0 and len(list_filter(range(m), lambda i: substr(x, 2 * i + 1, 2) in ('09', '0A', '0D') or substr(x, 2 * i + 1, 2) between '20' and '7E')) / m >= 0.85::double then 'text' else 'hex' end end kind from x""")
+ select file_id, case when n > 0 then case when regexp_replace(x, '(00)|(..)', '\1', 'g') = '' and length(regexp_replace(x, '(09|0A|0D|[2-6][0-9A-F]|7[0-9A-E])|(..)', '\1', 'g')) / 2 / m >= 0.85::double then 'text' else 'hex' end end kind from x""")
 def e17_kind(s, d):
     return V.corpus(s, d).select("file_id", I.preview_kind().alias("kind"))
 
