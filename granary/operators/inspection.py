@@ -36,7 +36,10 @@ SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 
 
 def entropy(histogram: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(file_id, n_bytes, entropy_bits, floor_bytes, unique_bytes, band) for histogram (file_id, byte, freq) of the files of sizes (file_id, n_bytes)."""
+    """(file_id, n_bytes, entropy_bits, floor_bytes, order0_ratio, unique_bytes, band) for histogram (file_id, byte, freq) of the files of sizes (file_id, n_bytes).
+
+    order0_ratio, n_bytes / floor_bytes or 0, isn't rounded: engines differ in the halves.
+    """
     total = histogram.groupBy("file_id").agg(F.sum("freq").alias("total"))
     p = F.col("freq") / F.col("total")
     h = histogram.join(total, "file_id").groupBy("file_id").agg(F.round(-F.sum(p * F.log2(p)), 6).alias("h"), F.count("*").alias("unique_bytes"))
@@ -44,7 +47,9 @@ def entropy(histogram: DataFrame, sizes: DataFrame) -> DataFrame:
     band = F.when(F.col("n_bytes") == 0, "empty")
     for least, name in BANDS:
         band = band.when(F.col("h") >= least, name)
-    return rows.select("file_id", "n_bytes", F.col("h").alias("entropy_bits"), F.ceil(F.round(F.col("h") * F.col("n_bytes") / 8, 3)).cast("long").alias("floor_bytes"), F.coalesce("unique_bytes", F.lit(0)).alias("unique_bytes"), band.otherwise("very high").alias("band"))
+    rows = rows.withColumn("floor_bytes", F.ceil(F.round(F.col("h") * F.col("n_bytes") / 8, 3)).cast("long"))
+    ratio = F.when(F.col("floor_bytes") > 0, F.col("n_bytes") / F.col("floor_bytes")).otherwise(0.0)
+    return rows.select("file_id", "n_bytes", F.col("h").alias("entropy_bits"), "floor_bytes", ratio.alias("order0_ratio"), F.coalesce("unique_bytes", F.lit(0)).alias("unique_bytes"), band.otherwise("very high").alias("band"))
 
 
 def byte_label(byte: str) -> Column:
@@ -53,10 +58,17 @@ def byte_label(byte: str) -> Column:
     return F.when(b == 32, "SP").when(b == 9, "TAB").when(b == 10, "LF").when(b == 13, "CR").when((b > 32) & (b < 127), F.chr(b)).otherwise(F.lpad(F.hex(b), 2, "0"))
 
 
+def printable(data: str, most: int = 14) -> Column:
+    """The first bytes, a middle dot for each that doesn't print, and an ellipsis where there are more."""
+    head = F.regexp_replace(F.decode(F.substring(F.col(data), 1, most), "ISO-8859-1"), "[^ -~]", "\u00b7")
+    return F.concat(head, F.when(F.octet_length(data) > most, "\u2026").otherwise(""))
+
+
 def top_bytes(histogram: DataFrame, most: int = 24) -> DataFrame:
-    """Each file's most frequent bytes, the lower byte first among equals."""
-    w = Window.partitionBy("file_id").orderBy(F.desc("freq"), "byte")
-    return histogram.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).withColumn("label", byte_label("byte"))
+    """Each file's most frequent bytes, the lower byte first among equals; pct of all its bytes."""
+    per_file = Window.partitionBy("file_id")
+    ranked = histogram.withColumn("place", F.row_number().over(per_file.orderBy(F.desc("freq"), "byte"))).withColumn("pct", 100.0 * F.col("freq") / F.sum("freq").over(per_file))
+    return ranked.where(F.col("place") <= most).withColumn("label", byte_label("byte"))
 
 
 def is_textual(head: Column, share: float) -> Column:

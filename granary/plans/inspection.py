@@ -17,8 +17,9 @@ from .registry import query
 H = V.HISTORY_SQL
 
 
-@query("e01_entropy", f"""with {HIST}, e as (select file_id, round(-sum(freq / total * log2(freq / total)), 6) h, count(*) u from hist join tot using (file_id) group by 1), n as (select doc_id file_id, octet_length(encode(coalesce(text, '')))::bigint n_bytes from documents)
- select file_id, n_bytes, abs(coalesce(h, 0.0)) entropy_bits, ceil(round(abs(coalesce(h, 0.0)) * n_bytes / 8, 3))::bigint floor_bytes, coalesce(u, 0) unique_bytes, case when n_bytes = 0 then 'empty' when h >= 7.5 then 'very low' when h >= 6.5 then 'low' when h >= 4.5 then 'moderate' when h >= 2.5 then 'high' else 'very high' end band from n left join e using (file_id)""")
+@query("e01_entropy", f"""with {HIST}, e as (select file_id, round(-sum(freq / total * log2(freq / total)), 6) h, count(*) u from hist join tot using (file_id) group by 1), n as (select doc_id file_id, octet_length(encode(coalesce(text, '')))::bigint n_bytes from documents),
+ f as (select *, ceil(round(abs(coalesce(h, 0.0)) * n_bytes / 8, 3))::bigint floor_bytes from n left join e using (file_id))
+ select file_id, n_bytes, abs(coalesce(h, 0.0)) entropy_bits, floor_bytes, case when floor_bytes > 0 then n_bytes / floor_bytes else 0.0 end order0_ratio, coalesce(u, 0) unique_bytes, case when n_bytes = 0 then 'empty' when h >= 7.5 then 'very low' when h >= 6.5 then 'low' when h >= 4.5 then 'moderate' when h >= 2.5 then 'high' else 'very high' end band from f""")
 def e01(s, d):
     c = V.corpus(s, d)
     return I.entropy(M.byte_histogram(c), c.select("file_id", "n_bytes"))
@@ -27,7 +28,7 @@ def e01(s, d):
 _LABEL = "case byte when 32 then 'SP' when 9 then 'TAB' when 10 then 'LF' when 13 then 'CR' else case when byte > 32 and byte < 127 then chr(byte) else upper(lpad(to_hex(byte), 2, '0')) end end"
 
 
-@query("e02_top_bytes", f"with {HIST}, r as (select *, row_number() over (partition by file_id order by freq desc, byte) place from hist) select *, {_LABEL} label from r where place <= 24")
+@query("e02_top_bytes", f"with {HIST}, r as (select *, row_number() over (partition by file_id order by freq desc, byte) place, 100.0::double * freq / sum(freq) over (partition by file_id) pct from hist) select *, {_LABEL} label from r where place <= 24")
 def e02(s, d):
     return I.top_bytes(M.byte_histogram(V.corpus(s, d)))
 

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import experiments, inspection, mining, runlog  # noqa: E402, F401  they register themselves
+from . import experiments, inspection, mining, runlog, storage  # noqa: E402, F401  they register themselves

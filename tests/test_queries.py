@@ -210,3 +210,93 @@ def test_previews_and_chunks(spark):
     assert {r.key: (bytes(r.data), r.ok) for r in I.reassembled(parts).collect()} == {r.key: (bytes(r.data), True) for r in rows.collect()}
     torn = parts.where("not (key = 1 and part = 1)").withColumn("chunk", F.when(F.col("key") == 3, F.lit(b"y")).otherwise(F.col("chunk")))
     assert {r.key: r.ok for r in I.reassembled(torn).collect()} == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_printable(spark):
+    from granary.operators import inspection as I
+
+    rows = [(0, b""), (1, b"plain"), (2, b"a\n\xff~ b"), (3, b"exactly 14 byt"), (4, b"fifteen bytes!!"), (5, None)]
+    assert values(spark, I.printable("data"), rows, "data binary") == ["", "plain", "a\u00b7\u00b7~ b", "exactly 14 byt", "fifteen bytes!\u2026", None]
+
+
+def test_independent_sizes(spark):
+    import heapq
+
+    from granary.functions import huffman
+
+    def by_hand(data):  # the inner nodes' weights add up to the bits
+        heap, bits = [*Counter(data).values()], 0
+        if len(heap) == 1:
+            return 264 + (len(data) + 7) // 8
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            w = heapq.heappop(heap) + heapq.heappop(heap)
+            bits += w
+            heapq.heappush(heap, w)
+        return 264 + (bits + 7) // 8
+
+    rows = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.file_id: r["size"] for r in QUERIES["c10_independent_size"](spark, SF).collect()}
+    assert got == {i: by_hand(x) for i, x in rows.items()} and by_hand(b"") == 264
+    assert huffman.independent_size(b"") == 264 and huffman.independent_size(b"aaaaaaaaa") == 266
+    steps = [1, 1]
+    while len(steps) < 12:
+        steps.append(steps[-1] + steps[-2])
+    data = b"".join(bytes([i]) * n for i, n in enumerate(steps))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(huffman, "INDEPENDENT_BITS", 4)
+        assert huffman.independent_size(data) > by_hand(data)  # shorter codes cost more, and there is an end
+
+
+def test_manifests(spark):
+    import json
+
+    from granary.operators import inspection as I
+    from granary.operators import storage as O
+
+    rows = spark.createDataFrame([(1, b"x" * 25), (2, b"short"), (3, b"")], "key long, data binary")
+    made = {r["key"]: bytes(r.manifest) for r in O.manifests(I.chunks(rows, 10)).collect()}
+    parts = [{"sha256": hashlib.sha256(b"x" * n).hexdigest(), "size": n} for n in (10, 10, 5)]
+    body = {"parts": parts, "size": 25, "version": 1}
+    pack = lambda b: O.MANIFEST + json.dumps(b, sort_keys=True, separators=(",", ":")).encode()
+    assert made == {1: pack(body)}
+    bad = [
+        made[1] + b"{}", made[1][:-1], O.MANIFEST, O.MANIFEST + b"[]", O.MANIFEST + "\u00e9".encode(), pack(body | {"version": 2}), pack(body | {"size": 24}), pack(body | {"size": 25.0}), pack({"parts": parts, "size": 25}),
+        pack(body | {"parts": parts[:1], "size": 10}), pack(body | {"parts": {"a": 1}}), pack(body | {"parts": [*parts[:2], {"sha256": "0", "size": 5}]}), pack(body | {"parts": [*parts, {"sha256": "0" * 64, "size": -1}], "size": 24}),
+        pack(body | {"parts": [{"sha256": "0" * 64, "size": 0}] * 1025, "size": 0}),
+    ]
+    objects = [(0, made[1]), (1, b"anything"), (2, None), (3, b""), *((10 + i, b) for i, b in enumerate(bad))]
+    got = {r["key"]: (r.state, r.parts, r.size) for r in O.manifest_states(spark.createDataFrame(objects, "key long, blob binary")).collect()}
+    assert got == {0: ("valid", 3, 25), **{i: ("plain", None, None) for i in (1, 2, 3)}, **{10 + i: ("invalid", None, None) for i in range(len(bad))}}
+
+
+def test_extraction(spark, tmp_path):
+    from granary.functions import container, dictionary
+    from granary.operators import storage as O
+
+    files = {"x/y.txt": b"hello " * 20, "z": b"", "x/deep/er": b"1"}
+    blob = container.pack_archive([("z", b"older"), *files.items()], dictionary.compress_baseline)
+    top = f"file://{tmp_path}/out"
+    for _ in range(2):  # a second run leaves the same files
+        rows = O.extracted(spark.createDataFrame([(7, blob), (8, blob)], "archive_id long, blob binary"), top).collect()
+        assert {(r.archive_id, r.path, r.bytes) for r in rows} == {(a, p, len(x)) for a in (7, 8) for p, x in files.items()}
+        assert {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()} == {f"out/{a}/{p}": x for a in (7, 8) for p, x in files.items()}
+    for broken in (blob.replace(b"x/deep/er", b"../../bad"), blob.replace(hashlib.sha256(b"1").hexdigest().encode(), b"0" * 64)):
+        with pytest.raises(Exception, match="unsafe path|isn't restored"):
+            O.extracted(spark.createDataFrame([(9, broken)], "archive_id long, blob binary"), top).collect()
+    assert not (tmp_path / "out" / "9").exists() and not (tmp_path / "bad").exists()
+
+
+def test_unfinished_writes_are_removed(spark, tmp_path):
+    import os
+    import time
+
+    from granary.operators import storage as O
+
+    old, new, other = "a" * 32 + ".tmp-" + "b" * 32, "c" * 32 + ".tmp-" + "d" * 32, "e" * 32
+    for name, age in ((old, 4000), (new, 100), (other, 9000), (old + "x", 9000)):
+        (tmp_path / name).write_bytes(b"x")
+        os.utime(tmp_path / name, (time.time() - age,) * 2)
+    assert O.remove_unfinished(spark, f"file://{tmp_path}") == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted([new, other, old + "x"])
+    assert O.remove_unfinished(spark, f"file://{tmp_path}") == 0 and O.remove_unfinished(spark, f"file://{tmp_path}", 0) == 1
