@@ -188,6 +188,29 @@ def test_totals_of_no_runs_are_zero(spark):
     assert [*runlog.history_stats(runs).first()] == [0] * 8 and [*runlog.system_stats(runs).first()] == [0] * 12
 
 
+def test_rungs_of_several_ladders_are_tried_once(spark, tmp_path, monkeypatch):
+    from granary.functions import dictionary
+    from granary.operators import codec
+
+    texts = {1: b"", 2: b"some words, some more words " * 9, 3: bytes(range(256)) * 3}
+    want = {(i, p, len(dictionary.best_of_ladder(t, p))) for i, t in texts.items() for p in dictionary.PRESETS}
+    plain, calls = dictionary.compress, str(tmp_path / "calls")
+
+    def counted(*args):
+        with open(calls, "a") as f:
+            f.write("x\n")
+        return plain(*args)
+
+    monkeypatch.setattr(dictionary, "compress", counted)
+    spark.createDataFrame([*texts.items()], "doc_id long, data binary").selectExpr("doc_id", "decode(data, 'ISO-8859-1') text", "'s' source", "'en' lang").where("doc_id < 3").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["l07_monotone"](spark, str(tmp_path)).collect()
+    assert {(r.file_id, p, r[p]) for r in rows for p in dictionary.PRESETS} == {w for w in want if w[0] < 3} and all(r.ok for r in rows)
+    assert len(open(calls).readlines()) == 2 * len(dictionary.ladder("maximum", 0))
+    monkeypatch.undo()
+    best = codec.best_of_ladder(spark.createDataFrame([*texts.items()], "file_id long, data binary"), "maximum").collect()
+    assert {(r.file_id, r.sha256) for r in best} == {(i, hashlib.sha256(dictionary.best_of_ladder(t, "maximum")).hexdigest()) for i, t in texts.items()}
+
+
 def test_symbols_are_handed_on_in_parts(spark, monkeypatch):
     from granary.functions import container, dictionary
     from granary.operators import structured
