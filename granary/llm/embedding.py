@@ -78,35 +78,49 @@ def fit(x: np.ndarray, total: int, threshold: float, recall: float = TARGET_RECA
     k = int(min(max(1, np.ceil(np.sqrt(total / PER_CELL))), max(1, FIT_ROWS // PER_CENTROID), len(x)))
     index = Index(_codebook(x[:, :half], k, rng), _codebook(x[:, half:], k, rng), 0.0, threshold)
     at = rng.choice(len(x), min(len(x), 4000), replace=False)
-    tot = []
+    tot, base = [], x[at]
+    own = index.excess(base)
     for _ in range(5):
-        base = x[at]
         away = rng.normal(size=base.shape)
         away -= (away * base).sum(1, keepdims=True) * base
         away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
         near = threshold * base + np.sqrt(max(0.0, 1 - threshold**2)) * away
         cell = [e.argmin(axis=1) for e in index.excess(near)]
-        own = index.excess(base)
         tot.append(sum(e[np.arange(len(at)), c] for e, c in zip(own, cell, strict=True)))
     index.reach = float(np.quantile(np.concatenate(tot), recall)) + 1e-12
     return index
 
 
+def _far_scaled(x: np.ndarray) -> np.ndarray | None:
+    """The unit vector of finite components whose squares over- or underflow; None for zeros."""
+    n = np.abs(x).max()
+    return x / n / np.linalg.norm(x / n) if n > 0 else None
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors as bytes of doubles, with a digest of the vector as given; null for what can't be compared."""
     for batch in batches:
-        keys, dims, units = [], [], []
-        for v in batch.column("embedding").to_pylist():
-            x = None if v is None or None in v else np.array(v, np.float64)
-            n = np.linalg.norm(x) if x is not None and len(x) else 0.0
-            if x is not None and np.isfinite(x).all() and not (np.isfinite(n) and n > 1e-150):
-                n = np.abs(x).max() if len(x) else 0.0  # squares that over- or underflow
-                x = x / n if n > 0 else x
-                n = np.linalg.norm(x) if n > 0 else 0.0
-            if x is None or not np.isfinite(x).all() or n == 0:
-                keys.append(bytes(16)), dims.append(None), units.append(None)
-            else:
-                keys.append(xxhash.xxh3_128_digest(np.array(v, np.float64).tobytes())), dims.append(len(x)), units.append((x / n).tobytes())
+        column = batch.column("embedding")
+        starts = column.offsets.to_numpy()
+        sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(starts), 0)
+        values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # a null component becomes NaN
+        keys, dims, units = [bytes(16)] * len(batch), [None] * len(batch), [None] * len(batch)
+        for size in np.unique(sizes[sizes > 0]).tolist():  # vectors of one length together
+            rows = np.flatnonzero(sizes == size)
+            x = values[starts[rows][:, None] + np.arange(size)]
+            finite = np.isfinite(x).all(axis=1)
+            rows, x = rows[finite], x[finite]
+            with np.errstate(all="ignore"):
+                n = np.sqrt((x * x).sum(axis=1))
+                unit = x / n[:, None]
+            given, made, step = x.tobytes(), unit.tobytes(), 8 * size
+            for k, row in enumerate(rows.tolist()):
+                own = made[k * step : (k + 1) * step]
+                if not 1e-150 < n[k] < np.inf:
+                    if (far := _far_scaled(x[k])) is None:
+                        continue
+                    own = far.tobytes()
+                keys[row], dims[row], units[row] = xxhash.xxh3_128_digest(given[k * step : (k + 1) * step]), size, own
         pair = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
             [batch.column("vec_id"), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(dims, pa.int32()), pa.array(units, pa.binary())],

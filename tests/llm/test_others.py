@@ -178,3 +178,31 @@ def test_pipeline_against_independent_versions(spark, tmp_path):
     whole = Tokenizer.from_file(tokenizer_path())
     held = sorted((r.doc_id, zlib.crc32(np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for r in at[4].collect())
     assert sorted((r.doc_id, r.ids_crc32) for r in at[5].collect()) == held
+
+
+def test_vectors_are_parsed_together():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from granary.llm import embedding
+
+    odd = [None, [], [1.0, None], [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [3.0, 4.0], [1e-200, 0.0], [1e200, 1e200], [1.0], [-0.0, 5.0], [3.0, 4.0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(odd))), pa.array(odd, pa.list_(pa.float64()))], names=["vec_id", "embedding"])
+    for part in (batch, batch.slice(4), batch.slice(0, 0)):
+        out = pa.Table.from_batches(embedding._parse(iter([part]))).to_pylist()
+        got = [None if r["unit"] is None else np.frombuffer(r["unit"]).round(12).tolist() for r in out]
+        want = [None] * 6 + [[0.6, 0.8], [1.0, 0.0], [round(0.5**0.5, 12)] * 2, [1.0], [0.0, 1.0], [0.6, 0.8]]
+        assert got == [want[r["vec_id"]] for r in out] and [r["vec_id"] for r in out] == part.column("vec_id").to_pylist()
+        keys = {r["vec_id"]: (r["k1"], r["k2"]) for r in out}
+        assert all((keys[i] == (0, 0)) == (want[i] is None) for i in keys)
+        assert len({k for k in keys.values() if k != (0, 0)}) == len({str(odd[i]) for i in keys if want[i]})
+    x = np.random.default_rng(1).normal(size=(20_000, 64))
+    many = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.ListArray.from_arrays(np.arange(0, x.size + 1, 64, np.int32), x.ravel())], names=["vec_id", "embedding"])
+    began = time.process_time()
+    made = pa.Table.from_batches(embedding._parse(iter([many])))
+    took, began = time.process_time() - began, time.process_time()
+    each = [np.array(v) / np.linalg.norm(v) for v in many.column("embedding").to_pylist()]
+    assert took < time.process_time() - began
+    assert np.abs(np.frombuffer(b"".join(made["unit"].to_pylist())).reshape(-1, 64) - each).max() < 1e-15
