@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,7 +120,8 @@ def join_skewed(rows: DataFrame, keyed: DataFrame, key: str | list[str], how: st
 # --- bytes to word hashes -------------------------------------------------------------------------------------------
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
-_CHUNK = 1 << 20
+#: Bytes whose words are hashed at once, in some 80 times as many of working memory; rows of a batch whose texts are held at once.
+_CHUNK, _ROWS = 1 << 18, 1000
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64)
 
@@ -200,10 +202,15 @@ def shingles_of_words(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices, so that copies of texts and what is made of them stay small beside a batch."""
+    for batch in batches:
+        for at in range(0, len(batch), _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def plain_bytes(column) -> list[bytes | None]:
     """The values of an Arrow string column as UTF-8 bytes."""
-    import pyarrow as pa
-
     return column.cast(pa.binary()).to_pylist()
 
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, join_skewed, mix, plain_bytes, shingles_of_words, words_of_texts
+from .common import Scratch, cut, few_rows, join_skewed, mix, plain_bytes, shingles_of_words, words_of_texts
 from .components import components
 
 HASHES = 128
@@ -54,7 +54,7 @@ def signature(shingles: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch(k: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             sizes, keys, sigs, bands = [], [], [], []
             for words in words_of_texts(plain_bytes(batch.column("text"))):
                 s = shingles_of_words(words, k)
@@ -221,7 +221,7 @@ def _set_pieces(k: int):
     """The shingle set of each text in rows of PIECE shingles; v tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, texts = batch.column("doc_id").to_numpy(), plain_bytes(batch.column("text"))
             for at in range(0, len(texts), 256):
                 own, versions, places, pieces = [], [], [], []

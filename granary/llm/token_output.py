@@ -31,8 +31,9 @@ MAGIC = b"GRTOK001"
 _HEAD = "<IQQQ"
 #: Tokens after which a block is closed.
 BLOCK_TOKENS = 2_000_000
-#: Pieces whose ids a worker remembers, twice at most; bytes of texts whose pieces are looked up together.
-PIECES, GROUP = 700_000, 4_000_000
+#: Pieces whose ids a worker remembers, twice at most, at some 150 bytes each: it keeps them after its task. Bytes of texts whose
+#: pieces are looked up together.
+PIECES, GROUP = 350_000, 1_000_000
 
 #: What may follow a word's letters as a pre-token of its own (an apostrophe may not).
 MARKS = ".,;:!?%*$&#@()"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _CHUNK, _pieces, _power_table, cut, mix, plain_bytes
+from .common import _CHUNK, _pieces, _power_table, cut, few_rows, mix, plain_bytes
 
 # Insults, threats and second-person words, lower-case letters only.
 LEXICON = {
@@ -307,7 +307,7 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     look = _Lookup()
-    for batch in batches:
+    for batch in few_rows(batches):
         found = [np.unique(np.r_[plain, stems]).view(np.int64) for _, _, plain, stems in words_of(plain_bytes(batch.column("text")), look)]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("fold"), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "fold", "tokens"])
 
@@ -338,7 +338,7 @@ def _learned(rows: DataFrame) -> dict[int, Lexicon]:
 def _feature_rows(lexicons: dict[int, Lexicon]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Lookup()
-        for batch in batches:
+        for batch in few_rows(batches):
             x = features_of(plain_bytes(batch.column("text")), look, [lexicons[f] for f in batch.column("fold").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
@@ -374,7 +374,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> Model
 def _scores(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Lookup()
-        for batch in batches:
+        for batch in few_rows(batches):
             x = features_of(plain_bytes(batch.column("text")), look, [model.lexicon] * len(batch))
             rest = [batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, name])

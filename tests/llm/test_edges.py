@@ -148,3 +148,24 @@ def test_stages_on_odd_tables(spark, clashing, tmp_path):
                 assert len({*kept}) < len({r.doc_id for r in at.select("doc_id").collect()}) and {0, 1, 2} & {*kept}
             at = after
         assert at.count() == (spark.read.parquet(f"{tmp_path}/3-{docs is clashing}.parquet").count())
+
+
+@pytest.mark.parametrize("kernel", ["scores", "sketch", "encode"])
+def test_kernels_hold_little_beside_a_batch(kernel):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, x)) for x in np.where(rng.random((5000, 2000)) < 0.15, 32, rng.integers(97, 123, (5000, 2000)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    run = {"scores": toxicity._scores(toxicity.Model(), "score"), "sketch": minhash._sketch(5, 5), "encode": token_output._encode(tokenizer_path(), 2)}[kernel]
+    if kernel == "encode":
+        token_output.Encoder.of_worker(tokenizer_path())
+        batch = batch.slice(0, 2000)
+    tracemalloc.start()
+    n = sum(len(out) for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(batch)
+    assert peak < {"scores": 50, "sketch": 30, "encode": 90}[kernel] << 20
